@@ -18,6 +18,8 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from provena.llm.tables import small
+
 #: Word separators and symbols.
 SEPARATORS = r"[\x20\x09-\x0D]+"
 BLANKS = " \t\n\x0b\x0c\r"
@@ -94,9 +96,8 @@ def buckets(h: Column, n_buckets: int) -> tuple[Column, Column]:
 def ratios(df: DataFrame, trusted: DataFrame, id_col: str, text_col: str, n_buckets: int, smoothing: float) -> list[float]:
     """log(target / raw) of each bucket; a table of n_buckets numbers, whatever the corpus."""
     one, two = buckets(F.col("__h"), n_buckets)
-    marked = df.select(F.col(id_col).alias("__i"), word_hashes(F.col(text_col)).alias("__h")).join(
-        trusted.select(F.col(id_col).alias("__i")).distinct().withColumn("__t", F.lit(1)), "__i", "left"
-    )
+    known = trusted.withColumns({"__i": F.col(id_col), "__t": F.lit(1)}).drop(id_col)
+    marked = df.select(F.col(id_col).alias("__i"), F.col(text_col).alias("__x")).join(known, "__i", "left").select("__t", word_hashes(F.col("__x")).alias("__h"))
     grams = marked.select(F.coalesce("__t", F.lit(0)).alias("__t"), F.explode(F.concat(one, two)).alias("b"))
     counts = grams.groupBy("b").agg(F.count("*").alias("raw"), F.sum("__t").alias("target")).collect()  # n_buckets rows at most
     raw, target = [smoothing] * n_buckets, [smoothing] * n_buckets
@@ -129,8 +130,9 @@ def quality_rules(
     """
     ids = trusted.select(F.col(id_col).alias(id_col)).distinct()
     aside = F.pmod(F.crc32(F.col(id_col).cast("string")), F.lit(5)) == 0
-    table = ratios(df, ids.where(~aside), id_col, text_col, n_buckets, smoothing)
-    of_target = df.select(id_col, text_col).join(ids, id_col, "left_semi").select(aside.alias("aside"), word_hashes(F.col(text_col)).alias("__h")).where(F.size("__h") >= 50)
+    n_trusted = ids.count()  # ids are broadcast while they are few megabytes; beyond that the texts are shuffled, not their words
+    table = ratios(df, small(ids.where(~aside), 8, n_trusted), id_col, text_col, n_buckets, smoothing)
+    of_target = df.select(id_col, text_col).join(small(ids, 8, n_trusted), id_col, "left_semi").select(aside.alias("aside"), word_hashes(F.col(text_col)).alias("__h")).where(F.size("__h") >= 50)
     spread = (
         of_target.select("aside", mean_ratio(F.col("__h"), table, n_buckets).alias("r")).groupBy("aside")
         .agg(F.avg("r").alias("m"), F.stddev_pop("r").alias("s"))

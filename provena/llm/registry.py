@@ -33,6 +33,65 @@ def op9_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     return digests(format_chats(chats))
 
 
-QUERIES = {f.__name__: f for f in (op5_byte_bpe, op8_quality_rules, op9_chat_format)}
+def op1_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from provena.llm.ngram_join import ngram_join
+
+    return ngram_join(table(spark, sf_dir, "documents"))
+
+
+def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from provena.llm import toxicity
+    from provena.llm.labelled import remainder
+
+    docs = table(spark, sf_dir, "documents")
+    model = toxicity.fit(docs, table(spark, sf_dir, "labels"), keep=remainder("doc_id", 5) != 0)
+    return toxicity.score(docs, model).select("doc_id", (remainder("doc_id", 5) == 0).alias("held_out"), "score", "predicted")
+
+
+def op3_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from provena.llm import pii
+
+    docs = table(spark, sf_dir, "documents")
+    return pii.find(docs, pii.fit(docs))
+
+
+def op4_bloom_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from provena.llm import bloom_lm
+    from provena.llm.labelled import remainder
+
+    docs = table(spark, sf_dir, "documents")
+    model = bloom_lm.fit(docs.where(remainder("doc_id", 5) != 1))
+    return bloom_lm.score(docs, model).select(
+        "doc_id", (remainder("doc_id", 5) == 1).alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score"
+    )
+
+
+def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from provena.llm.line_dedup import line_dedup
+
+    return line_dedup(table(spark, sf_dir, "documents")).select("doc_id", "text", "n_lines", "n_removed")
+
+
+def op7_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from provena.llm.decontaminate import matches
+
+    return matches(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def op10_mil_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from provena.llm import mil_quality
+    from provena.llm.labelled import remainder
+
+    docs = table(spark, sf_dir, "documents")
+    model = mil_quality.fit(docs, table(spark, sf_dir, "labels"), keep=remainder("doc_id", 3) != 1)
+    return mil_quality.score(docs, model).select("doc_id", (remainder("doc_id", 3) == 1).alias("held_out"), "score", "predicted", "n_passages")
+
+
+QUERIES = {
+    f.__name__: f
+    for f in (
+        op1_ngram_join, op2_toxicity, op3_pii, op4_bloom_lm, op5_byte_bpe, op6_line_dedup, op7_decontaminate, op8_quality_rules, op9_chat_format, op10_mil_quality,
+    )
+}
 
 ORACLE_SQL: dict[str, str] = {}

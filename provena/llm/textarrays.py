@@ -183,3 +183,40 @@ def ragged(starts: np.ndarray, lens: np.ndarray) -> np.ndarray:
         return np.zeros(0, np.int64)
     upto = np.cumsum(lens)
     return np.arange(total) + np.repeat(starts - (upto - lens), lens)
+
+
+class HashIndex:
+    """Open-addressing map from 64-bit hashes to numbers, probed for whole arrays at a time."""
+
+    def __init__(self, keys: np.ndarray, values: np.ndarray):
+        self.bits = max(4, (3 * max(len(keys), 1)).bit_length())
+        size = 1 << self.bits
+        self.keys, self.values, self.used = np.zeros(size, np.uint64), np.full(size, -1, np.int64), np.zeros(size, bool)
+        left = np.arange(len(keys))
+        slot = self._slot(keys)
+        while len(left):
+            free = ~self.used[slot]
+            self.keys[slot[free]] = keys[left[free]]
+            self.used[slot[free]] = True
+            won = self.keys[slot] == keys[left]
+            self.values[slot[won]] = values[left[won]]
+            left, slot = left[~won], (slot[~won] + 1) & (size - 1)
+
+    def _slot(self, keys: np.ndarray) -> np.ndarray:
+        return (keys >> np.uint64(64 - self.bits)).astype(np.int64)
+
+    def get(self, keys: np.ndarray) -> np.ndarray:
+        """The values, -1 where a key is missing."""
+        slot = self._slot(keys)
+        hit = self.used[slot] & (self.keys[slot] == keys)
+        out = np.where(hit, self.values[slot], -1)
+        left = np.flatnonzero(~hit & self.used[slot])
+        slot = slot[left]
+        while len(left):
+            slot = (slot + 1) & ((1 << self.bits) - 1)
+            used = self.used[slot]
+            hit = used & (self.keys[slot] == keys[left])
+            out[left[hit]] = self.values[slot[hit]]
+            go = used & ~hit
+            left, slot = left[go], slot[go]
+        return out

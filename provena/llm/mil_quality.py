@@ -163,3 +163,20 @@ def score(df: DataFrame, model: dict, id_col: str = "doc_id", text_col: str = "t
             )
 
     return df.select(id_col, text_col).mapInArrow(run, f"`{id_col}` {dict(df.dtypes)[id_col]}, score double, predicted int, n_passages long")
+
+
+def keep(df: DataFrame, model: dict, text_col: str = "text", least: float = 0.5) -> DataFrame:
+    """The rows of df, all columns, whose score is at least `least`."""
+    ship(df.sparkSession)
+
+    def run(batches):
+        for b in batches:
+            data, offsets = utf8(b.column(text_col))
+            good = [np.zeros(0, bool)]
+            for i, j in chunks(offsets):
+                x, count = encode(data[offsets[i]:offsets[j]], offsets[i:j + 1] - offsets[i])
+                s = np.full(j - i, model["rate"]) if "rate" in model else _sigmoid(forward(model, x, count)[-1])
+                good.append(s >= least)
+            yield b.filter(pa.array(np.concatenate(good)))
+
+    return df.mapInArrow(run, df.schema)

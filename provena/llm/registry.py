@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from provena.llm import oracle
 from provena.llm.tables import table
 
 
@@ -94,4 +95,4 @@ QUERIES = {
     )
 }
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {"op1_ngram_join": oracle.NGRAM_JOIN, "op6_line_dedup": oracle.LINE_DEDUP, "op9_chat_format": oracle.CHAT_FORMAT}

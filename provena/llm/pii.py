@@ -22,6 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from provena.llm.labelled import lowest
 from provena.llm.textarrays import ship
 
 KINDS = ("email", "ip", "card", "phone")
@@ -389,7 +390,7 @@ def made_windows(n: int = 900, seed: int = 3):
     return np.array(xs), np.array(ys)
 
 
-def fit(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", rows: int = 500, per_row: int = 6) -> dict:
+def fit(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", rows: int = 2000, per_row: int = 6) -> dict:
     """A model from spans written by rule and from the base spans of at most `rows` documents, `per_row` windows of each."""
     ship(df.sparkSession)
 
@@ -405,7 +406,8 @@ def fit(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", rows: int
                     ys.append(y.tobytes())
             yield pa.RecordBatch.from_arrays([pa.array(xs, pa.binary()), pa.array(ys, pa.binary())], ["x", "y"])
 
-    few = df.where(F.col(text_col).rlike("[0-9@]")).select(F.col(text_col).alias("t"), F.xxhash64(id_col).alias("o"), F.col(id_col).alias("i")).orderBy("o", "i").limit(rows)
+    ids = lowest(df.select(F.col(id_col).alias("i")).where("i is not null").distinct(), "i", rows)
+    few = df.select(F.col(id_col).alias("i"), F.col(text_col).alias("t")).join(F.broadcast(ids), "i").where(F.col("t").rlike("[0-9@]"))
     got = sorted((bytes(r["x"]), bytes(r["y"])) for r in few.select("t").mapInArrow(run, "x binary, y binary").collect())
     x, y = made_windows()
     if got:

@@ -1,6 +1,6 @@
 """Counterfactually regularised toxicity classifier (operator 2).
 
-A sparse logistic model over the presence of words and word beginnings.  In
+A sparse logistic model over words and word beginnings: that a text holds one, and that it holds it several times.  In
 labelled sentences that name a group, the name is swapped for others; the change
 of the score that the swap makes is penalised, so that naming a group counts
 neither for nor against a text.  Weights are few (L1), hence whole texts of any
@@ -37,7 +37,10 @@ IDENTITY_TERMS = [
 #: Bytes of words here: letters only, so that marks around a word do not hide it.
 LETTER = np.zeros(256, bool)
 LETTER[[*range(ord("A"), ord("Z") + 1), *range(ord("a"), ord("z") + 1), *range(0x80, 0x100)]] = True
-BEGINNINGS = (4, 5, 6)
+BEGINNINGS = (4, 5, 6, 8)
+#: A feature counts again where a text holds it so many times: chance gives one word of a stem, not several.
+TIMES = (1, 2, 3, 5)
+SALTS = [np.uint64(k * 0x9E3779B97F4A7C15 & 0xFFFFFFFFFFFFFFFF) for k in range(len(TIMES))]
 
 
 def features(data: np.ndarray, offsets: np.ndarray):
@@ -54,15 +57,20 @@ def features(data: np.ndarray, offsets: np.ndarray):
 
 def text_features(text: str) -> set:
     raw = np.frombuffer(text.encode(), np.uint8)
-    return set(features(raw, np.array([0, len(raw)]))[0].tolist())
+    return set(held(*features(raw, np.array([0, len(raw)])))[0].tolist())
 
 
-def _distinct(h, doc):
+def held(h, doc):
+    """(features, documents): a hash once, and once more, under another number, for each of TIMES that it is reached."""
     order = np.lexsort((h, doc))
     h, doc = h[order], doc[order]
-    keep = np.ones(len(h), bool)
-    keep[1:] = (h[1:] != h[:-1]) | (doc[1:] != doc[:-1])
-    return h[keep], doc[keep]
+    first = np.ones(len(h), bool)
+    first[1:] = (h[1:] != h[:-1]) | (doc[1:] != doc[:-1])
+    at = np.flatnonzero(first)
+    count = np.diff(np.append(at, len(h)))
+    h, doc = h[at], doc[at]
+    parts = [(h[count >= t] ^ salt, doc[count >= t]) for t, salt in zip(TIMES, SALTS)]
+    return np.concatenate([p[0] for p in parts]), np.concatenate([p[1] for p in parts])
 
 
 def _document_counts(batches):
@@ -71,7 +79,7 @@ def _document_counts(batches):
         data, offsets = utf8(batch.column("t"))
         y = np.asarray(batch.column("y").to_numpy(zero_copy_only=False))
         for i, j in chunks(offsets):
-            h, doc = _distinct(*features(data[offsets[i]:offsets[j]], offsets[i:j + 1] - offsets[i]))
+            h, doc = held(*features(data[offsets[i]:offsets[j]], offsets[i:j + 1] - offsets[i]))
             u, back = np.unique(h, return_inverse=True)
             pos = np.bincount(back, weights=y[i:j][doc], minlength=len(u)).astype(np.int64)
             n = np.bincount(back, minlength=len(u))
@@ -98,19 +106,19 @@ def _rows(batches, vocabulary: np.ndarray):
     term = re.compile("|".join(t for line in IDENTITY_TERMS for t in line))
     for batch in batches:
         data, offsets = utf8(batch.column("t"))
-        held, swaps = [], []
+        found, swaps = [], []
         for i, j in chunks(offsets):
             part, o = data[offsets[i]:offsets[j]], offsets[i:j + 1] - offsets[i]
-            h, doc = features(part, o)
+            h, doc = held(*features(part, o))
             pos = np.minimum(np.searchsorted(vocabulary, h), len(vocabulary) - 1)
-            hit = vocabulary[pos] == h
-            p, d = _distinct(pos[hit], doc[hit])
-            held += np.split(p.astype(np.int32), np.searchsorted(d, np.arange(1, j - i)))
+            hit = np.flatnonzero(vocabulary[pos] == h)
+            hit = hit[np.argsort(doc[hit], kind="stable")]
+            found += np.split(pos[hit].astype(np.int32), np.searchsorted(doc[hit], np.arange(1, j - i)))
             for k in range(j - i):
                 text = part[o[k]:o[k + 1]].tobytes().decode("utf-8", "replace")
                 swaps.append([[float(c), float(f), v] for c, s in enumerate(_swaps(text, at)) for f, v in s] if term.search(text.lower()) else [])
         yield pa.RecordBatch.from_arrays(
-            [batch.column("y"), pa.array(held, pa.list_(pa.int32())), pa.array(swaps, pa.list_(pa.list_(pa.float64())))], ["y", "held", "swaps"]
+            [batch.column("y"), pa.array(found, pa.list_(pa.int32())), pa.array(swaps, pa.list_(pa.list_(pa.float64())))], ["y", "held", "swaps"]
         )
 
 
@@ -118,11 +126,16 @@ def fit_weights(y: np.ndarray, x: np.ndarray, changes: np.ndarray, l1: float, fa
     """FISTA for logistic loss + l1 * |w| + fairness * mean squared score change; the intercept is free."""
     n = len(y)
     share = np.clip(y.mean(), 0.5 / n, 1 - 0.5 / n)
-    weight = np.where(y > 0, 0.5 / share, 0.5 / (1 - share))  # both labels count alike; the intercept is corrected after
-    bound = 0.25 * (weight.max() * float((x.sum(1) + 1).max())) + 2 * fairness * (float((changes**2).sum(1).max()) if len(changes) else 0)
+    weight = np.sqrt(np.where(y > 0, 0.5 / share, 0.5 / (1 - share)))  # the rarer label counts more, not fully alike
+    v = np.ones(x.shape[1] + 1)
+    for _ in range(20):  # the greatest curvature, by power iteration
+        v /= np.linalg.norm(v)
+        u = weight * (x @ v[:-1] + v[-1]) / (4 * n)
+        v = np.append(x.T @ u + (2 * fairness * changes.T @ (changes @ v[:-1]) / len(changes) if len(changes) else 0), u.sum())
+    bound = 1.2 * np.linalg.norm(v)
     w, b = np.zeros(x.shape[1]), 0.0
     vw, vb, t = w.copy(), b, 1.0
-    rate = 4.0 / max(bound, 1e-9)
+    rate = 1.0 / max(bound, 1e-9)
     before = np.inf
     for _ in range(steps):
         z = x @ vw + vb
@@ -145,7 +158,7 @@ def fit_weights(y: np.ndarray, x: np.ndarray, changes: np.ndarray, l1: float, fa
 
 
 def fit(df: DataFrame, labels: DataFrame, label: str = "toxic", keep: Column | None = None, id_col: str = "doc_id", text_col: str = "text",
-        rows: int = 6000, vocabulary: int = 2048, l1: float = 2e-3, fairness: float = 5.0) -> dict:
+        rows: int = 6000, vocabulary: int = 2048, l1: float = 1e-3, fairness: float = 5.0) -> dict:
     """A model fitted on at most `rows` labelled documents: hashes, weights, intercept."""
     ship(df.sparkSession)
     chosen = sample(df, labels, label, rows, id_col, text_col, keep).select(F.col(text_col).alias("t"), "y")
@@ -182,10 +195,13 @@ def score_texts(model: dict, data: np.ndarray, offsets: np.ndarray) -> np.ndarra
     z = np.full(len(offsets) - 1, model["bias"])
     known = model["hash"]
     if len(known):
+        bases = np.unique(np.concatenate([known ^ salt for salt in SALTS]))
+        pos = np.minimum(np.searchsorted(bases, h), len(bases) - 1)
+        h, doc = h[bases[pos] == h], doc[bases[pos] == h]  # the few words that may bear a weight
+        h, doc = held(h, doc)
         pos = np.minimum(np.searchsorted(known, h), len(known) - 1)
         hit = known[pos] == h
-        p, d = _distinct(pos[hit], doc[hit])
-        z += np.bincount(d, weights=model["weight"][p], minlength=len(z))
+        z += np.bincount(doc[hit], weights=model["weight"][pos[hit]], minlength=len(z))
     return 1 / (1 + np.exp(-np.clip(z, -50, 50)))
 
 

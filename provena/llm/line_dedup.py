@@ -18,37 +18,31 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from provena.llm.quality_rules import let
-from provena.llm.setjoin import candidates, linked, sets_of, units
+from provena.llm.setjoin import Join, candidates
 from provena.llm.setjoin import lines as split_lines
 from provena.llm.tables import cut, small
 
 
 def removals(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: int = 5, percent: int = 80) -> DataFrame:
     """(i, lines): the documents that lose lines, and the numbers of those lines."""
-    rows = cut(units(df, id_col, text_col, split_lines, n, percent, adaptive=False).where("n > 0"))
-    grouped = rows.groupBy("f1", "f2").agg(
-        F.min(F.struct("i", "line")).alias("x"), F.first("n").alias("n"), F.first("l").alias("l"), F.first("prefix").alias("prefix"), F.min("u").alias("u"),
-    )
-    classes = cut(grouped.select("f1", "f2", F.col("u").alias("c"), F.col("x.i").alias("i"), F.col("x.line").alias("line"), "n", "l", "prefix"))
-    place = F.struct("i", "line", "c")
-    every = classes.select(F.posexplode("prefix").alias("pos", "token"), "c", "n", "l", "i", "line")
-    shared = every.groupBy("token").agg(F.min(place).alias("first"), F.max(place).alias("last")).where(F.col("first.c") != F.col("last.c"))
-    lists = cut(every.join(shared.select("token", F.col("first.c").alias("first")), "token"))
-    votes = lists.where(F.col("c") != F.col("first")).groupBy("c", "first").agg(F.count("*").alias("v"))
-    star = votes.groupBy("c").agg(F.max(F.struct("v", "first")).alias("x")).select(F.col("c").alias("a"), F.col("x.first").alias("b"))
-    sets = cut(sets_of(df, classes, lists, id_col, text_col, split_lines, n))
-    gone = cut(linked(star, sets, percent).select(F.col("a").alias("c")).distinct())
-    left = lists.join(gone, "c", "left_anti")
-    earlier = (F.col("x.c") != F.col("y.c")) & (F.struct("y.i", "y.line") < F.struct("x.i", "x.line"))
-    more = candidates(left, lists, percent, earlier, ordered=True)
-    gone = gone.union(linked(more, sets, percent).select(F.col("a").alias("c"))).distinct()
-    first = classes.join(gone.withColumn("g", F.lit(True)), "c", "left").select("f1", "f2", F.col("i").alias("fi"), F.col("line").alias("fl"), F.coalesce("g", F.lit(False)).alias("g"))
-    lost = rows.select("i", "line", "f1", "f2").join(first, ["f1", "f2"]).where("g or not (i <=> fi) or line != fl")
+    join = Join(df, id_col, text_col, split_lines, n, percent, adaptive=False)
+    lists = join.lists()
+    place = join.classes.select("c", "place")
+    later = lambda pairs: pairs.join(place.select(F.col("c").alias("a"), F.col("place").alias("pa")), "a").join(
+        place.select(F.col("c").alias("b"), F.col("place").alias("pb")), "b"
+    ).where("pb < pa").select(F.col("a").alias("c"))
+    gone = cut(later(join.linked(join.stars(lists))).distinct())
+    placed = lists.drop("first").join(place, "c")
+    left = placed.join(gone, "c", "left_anti")
+    more = join.linked(candidates(left, placed, percent, F.col("y.place") < F.col("x.place"), ordered=True)).select(F.col("a").alias("c"))
+    gone = gone.union(more).distinct().withColumn("g", F.lit(True))
+    first = join.classes.select("c", F.col("place").alias("first")).join(gone, "c", "left")
+    lost = join.rows.where("n > 0").join(first, "c").where("g or place != first")
     return lost.groupBy("i").agg(F.collect_set("line").alias("lines"))
 
 
-def line_dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: int = 5, percent: int = 80) -> DataFrame:
-    """df with the text's later matches removed, and n_lines and n_removed added."""
+def line_dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: int = 5, percent: int = 80, counts: tuple = ("n_lines", "n_removed")) -> DataFrame:
+    """df with the text's later matches removed, and the two counts added (columns of df of these names are replaced)."""
     lost = cut(removals(df, id_col, text_col, n, percent))
     size = lost.agg(F.count("*").alias("d"), F.coalesce(F.sum(F.size("lines")), F.lit(0)).alias("w")).first()
     lost = small(lost.select(F.col("i").alias("__i"), F.col("lines").alias("__lost")), 1, rows=48 * size["d"] + 8 * size["w"])
@@ -58,6 +52,6 @@ def line_dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", n:
         F.transform(F.array_except(F.sequence(F.lit(0), F.size(parts) - 1), F.col("__lost")), lambda k: F.get(parts, k)), "\n"
     ))
     text = F.when(F.col("__lost").isNull(), F.col(text_col)).otherwise(kept)
-    out = joined.withColumn("__new", text).withColumn("__n", F.when(F.col(text_col).isNull(), F.lit(0)).otherwise(F.size(split)))
-    columns = [F.col("__new").alias(c) if c == text_col else F.col(f"`{c}`") for c in df.columns]
-    return out.select(*columns, F.col("__n").cast("long").alias("n_lines"), F.coalesce(F.size("__lost"), F.lit(0)).cast("long").alias("n_removed"))
+    n_lines = F.when(F.col(text_col).isNull(), F.lit(0)).otherwise(F.size(split)).cast("long")
+    columns = [text.alias(c) if c == text_col else F.col(f"`{c}`") for c in df.columns if c not in counts]
+    return joined.select(*columns, n_lines.alias(counts[0]), F.coalesce(F.size("__lost"), F.lit(0)).cast("long").alias(counts[1]))

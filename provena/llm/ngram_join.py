@@ -16,23 +16,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from provena.llm.components import components
-from provena.llm.setjoin import best_leader, candidates, linked, postings, sets_of, units, whole
+from provena.llm.setjoin import Join, candidates, whole
 from provena.llm.tables import cut
 
 
 def ngram_join(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: int = 4, percent: int = 85, adaptive: bool = True) -> DataFrame:
     """One row per document: id, n_shingles, component_id (the smallest id reachable by links)."""
-    rows = cut(units(df, id_col, text_col, whole, n, percent, adaptive))
-    full = rows.where("n > 0")
-    classes = cut(
-        full.groupBy("f1", "f2").agg(
-            F.min("u").alias("c"), F.min(F.struct("u", "i", "line")).alias("x"), F.min("i").alias("low"),
-            F.first("n").alias("n"), F.first("l").alias("l"), F.first("prefix").alias("prefix"),
-        ).select("f1", "f2", "c", "x.i", "x.line", "low", "n", "l", "prefix")
-    )
-    lists = cut(postings(classes))
-    sets = cut(sets_of(df, classes, lists, id_col, text_col, whole, n))
-    links = cut(linked(best_leader(lists), sets, percent))
+    join = Join(df, id_col, text_col, whole, n, percent, adaptive)
+    lists = join.lists()
+    links = cut(join.linked(join.stars(lists)))
     comp = components(links)
 
     # What the stars leave apart: lists with more than one component; members outside a list's largest one meet all others.
@@ -42,12 +34,13 @@ def ngram_join(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", n:
     open_lists = cut(placed.join(main, "token"))
     strays = open_lists.where("comp != main")
     apart = (F.col("x.comp") != F.col("y.comp")) & ((F.col("y.comp") == F.col("y.main")) | (F.col("x.c") < F.col("y.c")))
-    more = linked(candidates(strays, open_lists, percent, apart), sets, percent)
+    more = join.linked(candidates(strays, open_lists, percent, apart))
     comp = components(links.union(cut(more)))
 
-    named = classes.select("f1", "f2", "c", "low").join(comp, "c", "left").withColumn("comp", F.coalesce("comp", "c"))
+    named = join.classes.select("c", "low").join(comp, "c", "left").withColumn("comp", F.coalesce("comp", "c"))
     lows = named.groupBy("comp").agg(F.min("low").alias("component"))
-    place = named.select("f1", "f2", "comp").join(lows, "comp").select("f1", "f2", "component")
-    some = full.select("i", "n", "f1", "f2").join(place, ["f1", "f2"]).select(F.col("i").alias(id_col), F.col("n").cast("long").alias("n_shingles"), F.col("component").alias("component_id"))
+    place = named.select("c", "comp").join(lows, "comp").select("c", "component")
+    rows = join.rows.select("i", "n", "c")
+    some = rows.where("n > 0").join(place, "c").select(F.col("i").alias(id_col), F.col("n").cast("long").alias("n_shingles"), F.col("component").alias("component_id"))
     none = rows.where("n = 0").select(F.col("i").alias(id_col), F.lit(0).cast("long").alias("n_shingles"), F.col("i").alias("component_id"))
     return some.unionByName(none)

@@ -22,7 +22,18 @@ from pyspark.sql import functions as F
 
 from provena.llm.tables import cut, small
 from provena.llm.textarrays import (
-    LOWER, chunks, hash_spans, mix, ngram_hashes, ragged, runs, shingle_sets, ship, signed, utf8, word_bounds,
+    LOWER,
+    chunks,
+    hash_spans,
+    mix,
+    ngram_hashes,
+    ragged,
+    runs,
+    shingle_sets,
+    ship,
+    signed,
+    utf8,
+    word_bounds,
 )
 
 SKETCH_BITS = 22
@@ -70,16 +81,18 @@ def _sketch_rows(batches, split, n: int):
             at, c = np.unique(ngram_hashes(h, unit, n)[0] >> np.uint64(64 - SKETCH_BITS), return_counts=True)
             counts[at.astype(np.int64)] += c.astype(np.uint32)
     own = TaskContext.get().partitionId()
-    rows = [x.tobytes() for x in counts.reshape(PARTS, -1)]
+    rows = [np.minimum(x, 255).astype(np.uint8).tobytes() for x in counts.reshape(PARTS, -1)]  # a count of 255 in one task is frequent, however great
     yield pa.RecordBatch.from_arrays([pa.array(np.arange(PARTS, dtype=np.int32)), pa.array(np.full(PARTS, own % 32, np.int32)), pa.array(rows, pa.binary())], ["p", "salt", "c"])
 
 
 def _add(t: pa.Table) -> pa.Table:
-    total = None
+    size = 1 << (SKETCH_BITS - 6)
+    total = np.zeros(size, np.uint64)
     for x in t.column("c"):
-        c = np.frombuffer(x.as_buffer(), np.uint32)
-        total = c.copy() if total is None else total + np.minimum(c, np.uint32(0xFFFFFFFF) - total)
-    return pa.table({"p": t.column("p")[:1], "salt": t.column("salt")[:1], "c": pa.array([total.tobytes()], pa.binary())})
+        raw = x.as_buffer()
+        total += np.frombuffer(raw, np.uint8 if len(raw) == size else np.uint32)
+    summed = np.minimum(total, 0xFFFFFFFF).astype(np.uint32).tobytes()
+    return pa.table({"p": t.column("p")[:1], "salt": t.column("salt")[:1], "c": pa.array([summed], pa.binary())})
 
 
 def sketch(df: DataFrame, text_col: str, split, n: int) -> np.ndarray:
@@ -96,11 +109,12 @@ def sketch(df: DataFrame, text_col: str, split, n: int) -> np.ndarray:
     return np.ceil(4 * np.log2(1 + excess)).astype(np.uint8)
 
 
-def fingerprints(h: np.ndarray, start: np.ndarray):
+def fingerprints(h: np.ndarray, start: np.ndarray, seed: int = 0):
     """Two 64-bit sums that stand for a set."""
     if not len(h):
         return np.zeros(0, np.uint64), np.zeros(0, np.uint64)
-    return np.add.reduceat(mix(h), start), np.add.reduceat(mix(h ^ np.uint64(0x6A09E667F3BCC909)), start)
+    salt = np.uint64(0x6A09E667F3BCC909 + 2 * seed)
+    return np.add.reduceat(mix(h ^ salt), start), np.add.reduceat(mix(h ^ (salt << np.uint64(7))), start)
 
 
 def _prefix(h, unit, n_units: int, level: np.ndarray, percent: int, adaptive: bool):
@@ -126,119 +140,210 @@ def _prefix(h, unit, n_units: int, level: np.ndarray, percent: int, adaptive: bo
     return h[ragged(start, length)], length, longer.astype(np.int32)
 
 
-def _unit_rows(batches, split, n: int, level: np.ndarray, percent: int, adaptive: bool):
-    from pyspark import TaskContext
-
-    number = TaskContext.get().partitionId() << 40
+class Join:
+    """One set-similarity join over df: which units, how many words a shingle, what threshold, and how it is laid out."""
+
+    def __init__(self, df: DataFrame, id_col: str, text_col: str, split, n: int, percent: int, adaptive: bool):
+        ship(df.sparkSession)
+        self.texts = df.select(F.col(id_col).alias("i"), F.col(text_col).alias("t"))
+        self.kind = dict(df.dtypes)[id_col]
+        self.split, self.n, self.percent, self.adaptive, self.seed = split, n, percent, adaptive, 0
+        self.rows = self._rows()
+        while not self.classes.where("f2 != g2").isEmpty():  # two sets with one 64-bit number: number them anew
+            self.seed += 1
+            self.rows = self._rows()
+        self.level = df.sparkSession.sparkContext.broadcast(sketch(df, text_col, split, n))
+
+    def _rows(self) -> DataFrame:
+        """A row per unit: document id i, line, place, set size n, class number c (null without words) and a second fingerprint."""
+        split, n, seed = self.split, self.n, self.seed
+        rows = cut(self.texts.mapInArrow(lambda it: _unit_rows(it, split, n, seed), f"i {self.kind}, line int, n int, c long, f2 long"))
+        self.place = self._placing(rows)
+        rows = rows.withColumn("place", self.place)
+        self.classes = cut(rows.where("n > 0").groupBy("c").agg(
+            F.min("place").alias("place"), F.first("n").alias("n"), F.min("f2").alias("f2"), F.max("f2").alias("g2"), F.min("i").alias("low"),
+        ))
+        return rows
+
+    def _placing(self, rows: DataFrame) -> Column:
+        """A column that orders units by id and line: one long where both fit, else a struct; null ids come first."""
+        self.shift = None
+        if self.kind in ("bigint", "int"):
+            x = rows.agg(F.min("i").alias("a"), F.max("i").alias("b"), F.max("line").alias("l")).first()
+            shift = int(x["l"] or 0).bit_length()
+            if (x["a"] or 0) >= 0 and int(x["b"] or 0).bit_length() + shift < 62:
+                self.shift = shift
+                return F.shiftleft(F.coalesce(F.col("i"), F.lit(-1)).cast("long"), shift).bitwiseOR(F.col("line").cast("long"))
+        return F.struct("i", "line")
+
+    def _located(self) -> DataFrame:
+        """(c, i, line): where a class's first unit lies."""
+        if self.shift is None:
+            return self.classes.select("c", F.col("place.i").alias("i"), F.col("place.line").alias("line"))
+        i = F.shiftright("place", self.shift)
+        return self.classes.select("c", F.when(i >= 0, i).cast(self.kind).alias("i"), F.col("place").bitwiseAND(F.lit((1 << self.shift) - 1)).cast("int").alias("line"))
+
+    def _postings(self, columns: str) -> DataFrame:
+        split, n, seed, percent, adaptive, level = self.split, self.n, self.seed, self.percent, self.adaptive, self.level
+        return self.texts.mapInArrow(
+            lambda it: _prefix_rows(it, split, n, seed, level.value, percent, adaptive), f"token long, c long, i {self.kind}, line int, n int, pos int, l int"
+        ).select(*columns.split())
+
+    def lists(self) -> DataFrame:
+        """Prefix tokens that two classes share: a row (token, c, n, pos, l) per class, with the place of the list's first class.
+
+        What is shared is found first, from tokens and class numbers alone, so that
+        the much larger rest of the prefixes is not sorted or kept.
+        """
+        every = self._postings("token c i line").select("token", "c", self.place.alias("place"))
+        shared = cut(
+            every.groupBy("token").agg(F.min("c").alias("a"), F.max("c").alias("b"), F.min("place").alias("first")).where("a != b").select("token", "first")
+        )
+        rows = self._postings("token c n pos l").join(small(shared, 24), "token")
+        return cut(rows.dropDuplicates(["token", "c"]))
+
+    def stars(self, lists: DataFrame) -> DataFrame:
+        """(a, b): for each class the class b that comes first in most of its lists, if that isn't itself and their sizes allow a link."""
+        placed = lists.join(self.classes.select("c", "place"), "c")
+        votes = placed.where(F.col("place") != F.col("first")).groupBy("c", "first", "n").agg(F.count("*").alias("v"))
+        lead = self.classes.groupBy("place").agg(F.min(F.struct("c", "n")).alias("y")).select(F.col("place").alias("first"), "y")
+        fits = 100 * F.least("n", "y.n") >= self.percent * F.greatest("n", "y.n")
+        good = votes.join(lead, "first").where(fits & (F.col("c") != F.col("y.c")))
+        return good.groupBy("c").agg(F.max(F.struct("v", "y")).alias("x")).select(F.col("c").alias("a"), F.col("x.y.c").alias("b"))
+
+    def _unit_texts(self, at: DataFrame, *columns: str) -> DataFrame:
+        """The units' texts (column x) at (i, line), with the given columns of `at`."""
+        found = self.texts.join(at.withColumnRenamed("i", "__i"), F.col("i").eqNullSafe(F.col("__i")))
+        text = F.coalesce("t", F.lit(""))
+        return found.select(*columns, (text if self.split is whole else F.get(F.split(text, "\n"), F.col("line"))).alias("x"))
+
+    def linked(self, pairs: DataFrame) -> DataFrame:
+        """The pairs (a, b) of classes whose sets reach the threshold.
+
+        A quarter of each set's tokens, chosen by their hashes, comes first: as many of
+        it as one set lacks of the other's, the sets differ in at least.  Pairs that
+        can't be similar go by that alone; the rest are compared on the units' own texts.
+        """
+        pairs = cut(pairs.select("a", "b").distinct())
+        asked = cut(pairs.select(F.col("a").alias("c")).union(pairs.select(F.col("b").alias("c"))).distinct().join(self._located(), "c").join(self.classes.select("c", "n"), "c"))
+        words_n, seed, percent = self.n, self.seed, self.percent
+        texts = self._unit_texts(small(asked, 40), "c", "n")
+        marks = cut(texts.mapInArrow(lambda it: _quarter_rows(it, words_n, seed), "c long, n int, q array<int>").dropDuplicates(["c"]))
+        x, y = (marks.select(F.col("c").alias(k), F.col("n").alias(f"n{k}"), F.col("q").alias(f"q{k}")) for k in "ab")
+        both = pairs.join(x, "a").join(y, "b")
+        overlap = F.ceil(percent * (F.col("na") + F.col("nb")) / (100.0 + percent) - 1e-9)
+        common = F.size(F.array_intersect("qa", "qb"))
+        near = (F.size("qa") - common <= F.col("na") - overlap) & (F.size("qb") - common <= F.col("nb") - overlap)
+        pairs = cut(both.where(near).select("a", "b"))
+        where = self._located()
+        n = pairs.count()
+        left = pairs.join(where.withColumnRenamed("c", "a"), "a")
+        right = pairs.select("b").distinct().join(where.withColumnRenamed("c", "b"), "b")
+        x = self._unit_texts(small(left, 40, n), "a", "b").withColumnRenamed("x", "xa")
+        y = self._unit_texts(small(right, 32, n), "b").withColumnRenamed("x", "xb")
+        return x.join(y, "b").select("a", "b", "xa", "xb").mapInArrow(lambda it: _linked_rows(it, words_n, seed, percent), "a long, b long").distinct()
+
+
+def _quarter_rows(batches, n: int, seed: int):
+    for batch in batches:
+        asked = batch.column("c").to_numpy()
+        for i, j in chunks(utf8(batch.column("x"))[1]):
+            h, row, c, _ = _sets(batch.column("x"), n, seed, i, j)
+            some = h & np.uint64(3) == 0
+            h, row = h[some], row[some]
+            low = (h >> np.uint64(32)).astype(np.uint32).view(np.int32)
+            fresh = np.ones(len(h), bool)  # sorted by row and hash: tokens of equal upper halves count once
+            fresh[1:] = (low[1:] != low[:-1]) | (row[1:] != row[:-1])
+            low, row = low[fresh], row[fresh]
+            upto = np.searchsorted(row, np.arange(j - i + 1)).astype(np.int32)
+            out = pa.RecordBatch.from_arrays([pa.array(c), batch.column("n").slice(i, j - i), pa.ListArray.from_arrays(pa.array(upto), pa.array(low))], ["c", "n", "q"])
+            yield out.filter(pa.array(c == asked[i:j]))  # rows of equal id: only those of the class
+
+
+def _sets(column, n: int, seed: int, i: int, j: int):
+    """(hashes, rows, class numbers) of the texts i to j of a column."""
+    data, offsets = utf8(column.slice(i, j - i))
+    h, row = shingle_sets(*_words(data, offsets), j - i, n)
+    size = np.bincount(row, minlength=j - i)
+    f = np.zeros(j - i, np.uint64)
+    full = np.flatnonzero(size)
+    f[full] = fingerprints(h, (np.cumsum(size) - size)[full], seed)[0]
+    return h, row, signed(f), size
+
+
+def _linked_rows(batches, n: int, seed: int, percent: int):
+    for batch in batches:
+        a, b = batch.column("a").to_numpy(), batch.column("b").to_numpy()
+        both = utf8(batch.column("xa"))[1] + utf8(batch.column("xb"))[1]
+        for i, j in chunks(both):
+            ha, ra, ca, na = _sets(batch.column("xa"), n, seed, i, j)
+            hb, rb, cb, nb = _sets(batch.column("xb"), n, seed, i, j)
+            h, r = np.concatenate([ha, hb]), np.concatenate([ra, rb])
+            order = np.lexsort((h, r))
+            h, r = h[order], r[order]
+            same = (h[1:] == h[:-1]) & (r[1:] == r[:-1])
+            k = np.bincount(r[1:][same], minlength=j - i)
+            good = (100 * k >= percent * (na + nb - k)) & (ca == a[i:j]) & (cb == b[i:j])  # rows of equal id: only those of the class
+            yield pa.RecordBatch.from_arrays([pa.array(a[i:j][good]), pa.array(b[i:j][good])], ["a", "b"])
+
+
+def _chunked(batches, split):
     for b in batches:
         data, offsets = utf8(b.column("t"))
         ids = b.column("i")
         for i, j in chunks(offsets):
             part, o = data[offsets[i]:offsets[j]], offsets[i:j + 1] - offsets[i]
             units, doc, line = split(part, o)
-            h, unit = shingle_sets(*_words(part, units), len(doc), n)
-            size = np.bincount(unit, minlength=len(doc))
-            tokens, length, longer = _prefix(h, unit, len(doc), level, percent, adaptive)
-            full = np.flatnonzero(size)
-            f = np.zeros((2, len(doc)), np.uint64)
-            f[:, full] = fingerprints(h, (np.cumsum(size) - size)[full])
-            prefix = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(length)]).astype(np.int32)), pa.array(signed(tokens)))
-            u = number + np.arange(len(doc))
-            number += len(doc)
+            yield part, units, doc, line, ids.slice(i, j - i)
+
+
+def _unit_rows(batches, split, n: int, seed: int):
+    for part, units, doc, line, ids in _chunked(batches, split):
+        h, unit = shingle_sets(*_words(part, units), len(doc), n)
+        size = np.bincount(unit, minlength=len(doc))
+        full = np.flatnonzero(size)
+        f = np.zeros((2, len(doc)), np.uint64)
+        f[:, full] = fingerprints(h, (np.cumsum(size) - size)[full], seed)
+        yield pa.RecordBatch.from_arrays(
+            [ids.take(pa.array(doc)), pa.array(line), pa.array(size.astype(np.int32)), pa.array(signed(f[0]), mask=size == 0), pa.array(signed(f[1]))], ["i", "line", "n", "c", "f2"]
+        )
+
+
+def _prefix_rows(batches, split, n: int, seed: int, level: np.ndarray, percent: int, adaptive: bool):
+    for part, units, doc, line, ids in _chunked(batches, split):
+        h, unit = shingle_sets(*_words(part, units), len(doc), n)
+        size = np.bincount(unit, minlength=len(doc))
+        full = np.flatnonzero(size)
+        c = np.zeros(len(doc), np.uint64)
+        c[full] = fingerprints(h, (np.cumsum(size) - size)[full], seed)[0]
+        tokens, length, longer = _prefix(h, unit, len(doc), level, percent, adaptive)
+        of = np.repeat(np.arange(len(doc)), length)
+        pos = np.arange(len(of)) - np.repeat(np.cumsum(length) - length, length)
+        for k in range(0, len(of), 100_000):
+            o = of[k:k + 100_000]
             yield pa.RecordBatch.from_arrays(
-                [pa.array(u), ids.slice(i, j - i).take(pa.array(doc)), pa.array(line), pa.array(size.astype(np.int32)), pa.array(signed(f[0])), pa.array(signed(f[1])), pa.array(longer), prefix],
-                ["u", "i", "line", "n", "f1", "f2", "l", "prefix"],
+                [pa.array(signed(tokens[k:k + 100_000])), pa.array(signed(c[o])), ids.take(pa.array(doc[o])), pa.array(line[o]), pa.array(size[o].astype(np.int32)),
+                 pa.array(pos[k:k + 100_000].astype(np.int32)), pa.array(longer[o])],
+                ["token", "c", "i", "line", "n", "pos", "l"],
             )
 
 
-def units(df: DataFrame, id_col: str, text_col: str, split, n: int, percent: int, adaptive: bool) -> DataFrame:
-    """A row per unit: own number u, document id i, line, set size n, fingerprint, l and prefix tokens."""
-    ship(df.sparkSession)
-    level = df.sparkSession.sparkContext.broadcast(sketch(df, text_col, split, n))
-    kind = dict(df.dtypes)[id_col]
-    return df.select(F.col(id_col).alias("i"), F.col(text_col).alias("t")).mapInArrow(
-        lambda it: _unit_rows(it, split, n, level.value, percent, adaptive),
-        f"u long, i {kind}, line int, n int, f1 long, f2 long, l int, prefix array<long>",
-    )
-
-
-def postings(classes: DataFrame) -> DataFrame:
-    """Rows of tokens that lie in the prefixes of two classes or more: token, the class's columns, and pos."""
-    every = classes.select(F.posexplode("prefix").alias("pos", "token"), "c", "n", "l")
-    shared = every.groupBy("token").agg(F.min("c").alias("first"), F.max("c").alias("last")).where(F.col("first") < F.col("last"))
-    return every.join(shared.select("token", "first"), "token")
-
-
-def best_leader(rows: DataFrame) -> DataFrame:
-    """For each class the earlier class that leads most of its lists: pairs (a, b), b the leader."""
-    votes = rows.where(F.col("c") > F.col("first")).groupBy("c", "first").agg(F.count("*").alias("v"))
-    return votes.groupBy("c").agg(F.max(F.struct("v", (-F.col("first")).alias("m"))).alias("x")).select(F.col("c").alias("a"), (-F.col("x.m")).alias("b"))
-
-
-def _set_rows(batches, split, n: int):
-    """The whole sets of the units that are asked for (column `wanted`: numbers in the document)."""
-    for b in batches:
-        data, offsets = utf8(b.column("t"))
-        wanted = b.column("wanted").to_pylist()
-        for i, j in chunks(offsets):
-            part, o = data[offsets[i]:offsets[j]], offsets[i:j + 1] - offsets[i]
-            of, doc, line = split(part, o)
-            h, unit = shingle_sets(*_words(part, of), len(doc), n)
-            start = runs(unit, len(doc))
-            first = np.searchsorted(doc, np.arange(j - i))
-            count = np.bincount(doc, minlength=j - i)
-            picked = np.array([first[k] + x["line"] for k in range(j - i) for x in wanted[i + k] if x["line"] < count[k]], np.int64)
-            c = [x["c"] for k in range(j - i) for x in wanted[i + k] if x["line"] < count[k]]
-            f1 = np.array([x["f1"] for k in range(j - i) for x in wanted[i + k] if x["line"] < count[k]], np.int64)
-            if not len(picked):
-                continue
-            length = start[picked + 1] - start[picked]
-            flat = h[ragged(start[picked], length)]
-            upto = np.concatenate([[0], np.cumsum(length)])
-            right = np.zeros(len(picked), bool)
-            some = np.flatnonzero(length > 0)
-            right[some] = signed(fingerprints(flat, upto[:-1][some])[0]) == f1[some]
-            sets = pa.ListArray.from_arrays(pa.array(upto.astype(np.int32)), pa.array(signed(flat)))
-            out = pa.RecordBatch.from_arrays([pa.array(c, pa.int64()), sets], ["c", "s"])
-            yield out.filter(pa.array(right))
-
-
-def sets_of(df: DataFrame, classes: DataFrame, asked: DataFrame, id_col: str, text_col: str, split, n: int) -> DataFrame:
-    """(c, s): the whole sets of the asked classes, read again from the documents that hold them."""
-    want = classes.select("c", "i", "line", "f1").join(asked.select("c").distinct(), "c", "left_semi")
-    by_doc = want.groupBy(F.col("i").alias("i2")).agg(F.collect_list(F.struct("c", "line", "f1")).alias("wanted"))
-    by_doc = cut(by_doc)
-    size = by_doc.agg(F.count("*").alias("d"), F.coalesce(F.sum(F.size("wanted")), F.lit(0)).alias("w")).first()
-    by_doc = small(by_doc, 1, rows=64 * size["d"] + 40 * size["w"])
-    texts = df.select(F.col(id_col).alias("i"), F.col(text_col).alias("t")).join(by_doc, F.col("i").eqNullSafe(F.col("i2")))
-    found = texts.select("t", "wanted").mapInArrow(lambda it: _set_rows(it, split, n), "c long, s array<long>")
-    return found.dropDuplicates(["c"])
-
-
-def linked(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """The pairs (a, b) whose sets reach the threshold, exactly."""
-    a, b = sets.select(F.col("c").alias("a"), F.col("s").alias("sa")), sets.select(F.col("c").alias("b"), F.col("s").alias("sb"))
-    both = pairs.select("a", "b").join(a, "a").join(b, "b")
-    common = both.select("a", "b", (F.size("sa") + F.size("sb")).alias("m"), F.size(F.array_intersect("sa", "sb")).alias("k"))
-    return common.where(100 * F.col("k") >= percent * (F.col("m") - F.col("k"))).select("a", "b")
-
-
 def candidates(left: DataFrame, right: DataFrame, percent: int, apart: Column, ordered: bool = False) -> DataFrame:
     """Pairs (a, b), a > b (`ordered`: a of left, b of right), of rows of the same token that satisfy `apart` (over x and y) and share l tokens of their l-prefixes.
 
     A pair's l is the smaller of the two; a token counts if it lies in both prefixes
-    of that l.  Sizes must allow the threshold, and a token's places must leave
+    of that l, for the overlap that these two sizes need.  Sizes must allow the threshold, and a token's places must leave
     enough tokens after them (length and positional filters).
     """
     x, y = left.alias("x"), right.alias("y")
     l = F.least("x.l", "y.l")  # noqa: E741
 
-    def inside(t: str) -> Column:
-        need = F.ceil(percent * F.col(f"{t}.n") / 100.0)
-        return F.col(f"{t}.pos") < F.col(f"{t}.n") - need + l
-
     total = F.col("x.n") + F.col("y.n")
     overlap = F.ceil(percent * total / (100.0 + percent) - 1e-9)
+
+    def inside(t: str) -> Column:
+        return F.col(f"{t}.pos") < F.col(f"{t}.n") - overlap + l
+
     room = F.least(F.col("x.n") - F.col("x.pos"), F.col("y.n") - F.col("y.pos"))
     fits = (100 * F.least("x.n", "y.n") >= percent * F.greatest("x.n", "y.n"))
     can = room + F.least("x.pos", "y.pos") >= overlap

@@ -130,8 +130,9 @@ def _prefix(h, unit, n_units: int, level: np.ndarray, percent: int, adaptive: bo
     if adaptive:
         cost_of = np.concatenate([[0.0], np.cumsum(2.0 ** (own / 4.0) - 1)])
         best = np.full(n_units, np.inf)
+        alike = -(-2 * percent * size // (100 + percent))  # the overlap that a partner of the same size needs: most partners read no more
         for k in range(1, LONGEST + 1):
-            length = np.minimum(size - need + k, size)
+            length = np.minimum(size - alike + k, size)
             lists = cost_of[start + length] - cost_of[start]
             cost = np.where(k <= need, length + lists + VERIFY * lists / k, np.inf)
             longer = np.where(cost < best, k, longer)

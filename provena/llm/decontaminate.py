@@ -1,10 +1,10 @@
-"""Benchmark decontamination by rare n-gram seeds and Smith-Waterman alignment (operator 7).
+"""Benchmark decontamination by n-gram seeds and Smith-Waterman alignment (operator 7).
 
-Word n-grams of the test items are counted over all documents.  The rarer half of
-each item's n-grams (eight at least) are its seeds, whatever their counts, so that
-a passage which a third of all documents copy still has seeds.  A document that
-holds a seed is aligned with the item around it, word by word; the local alignment
-score, as a share of the item's own, tells edited copies from chance.
+Every word n-gram of a test item is a seed of it, common or rare: an edited copy
+keeps any of them.  A document that holds a seed is aligned with the item around
+it, word by word; the local alignment score, as a share of the item's own, tells
+edited copies from chance.  A copy that keeps no n words of an item in a row has
+no seed and is not found.
 
 Words are runs of letters and digits, lower-cased.  Items travel in blocks of a
 fixed number of n-grams, so that what a worker holds does not grow with the
@@ -24,7 +24,6 @@ from provena.llm.textarrays import LOWER, HashIndex, chunks, hash_spans, ngram_h
 ALNUM = np.zeros(256, bool)
 ALNUM[[*range(48, 58), *range(65, 91), *range(97, 123), *range(0x80, 0x100)]] = True
 MATCH, OTHER, GAP = 2, -1, -1
-SEEDS = 8
 #: N-grams of one block of items, and cells of one alignment array.
 BLOCK_GRAMS = 1 << 20
 CELLS = 1 << 21
@@ -52,7 +51,7 @@ def align(item: np.ndarray, windows: np.ndarray) -> np.ndarray:
 
 
 class Items:
-    """A block of items: words, n-grams with their items and places, and, once counted, which are seeds."""
+    """A block of items: words, and n-grams with their items and places."""
 
     def __init__(self, ids: list, texts: list, n: int):
         data, offsets = utf8(pa.array(texts, pa.string()))
@@ -69,11 +68,13 @@ class Items:
             item.append(doc[at][right])
             place.append((at - first)[right])
         empty = np.zeros(0, np.int64)
-        self.gram = np.concatenate(grams) if grams else np.zeros(0, np.uint64)
-        self.item = np.concatenate(item) if item else empty
-        self.place = np.concatenate(place) if place else empty
-        self.unique, self.number = np.unique(self.gram, return_inverse=True)
+        gram = np.concatenate(grams) if grams else np.zeros(0, np.uint64)
+        self.unique, number = np.unique(gram, return_inverse=True)
         self.index = HashIndex(self.unique, np.arange(len(self.unique)))
+        order = np.argsort(number, kind="stable")
+        self.at = np.searchsorted(number[order], np.arange(len(self.unique) + 1))
+        self.seed_item = np.concatenate(item)[order] if item else np.zeros(0, np.int64)
+        self.seed_place = np.concatenate(place)[order] if place else np.zeros(0, np.int64)
 
     def hits(self, h: np.ndarray, doc: np.ndarray):
         """(n-gram number, document, word position) of the items' n-grams in documents."""
@@ -85,30 +86,6 @@ class Items:
             out.append((k[hit], doc[at[hit]], at[hit]))
         return tuple(np.concatenate(x) for x in zip(*out)) if out else (np.zeros(0, np.int64),) * 3
 
-    def choose(self, counts: np.ndarray) -> None:
-        """Seeds: the rarer half of each item's n-grams, SEEDS at least; then n-gram -> (item, place) lists."""
-        c = counts[self.number]
-        order = np.lexsort((self.place, c, self.item))
-        start = np.searchsorted(self.item[order], np.arange(len(self.ids) + 1))
-        size = np.diff(start)
-        rank = np.arange(len(order)) - start[self.item[order]]
-        seed = order[rank < np.maximum(SEEDS, -(-size // 2))[self.item[order]]]
-        seed = seed[np.argsort(self.number[seed], kind="stable")]
-        self.at = np.searchsorted(self.number[seed], np.arange(len(self.unique) + 1))
-        self.seed_item, self.seed_place = self.item[seed], self.place[seed]
-
-
-def _count_rows(batches, items: Items):
-    counts = np.zeros(len(items.unique), np.int64)
-    for b in batches:
-        data, offsets = utf8(b.column("t"))
-        for i, j in chunks(offsets):
-            k, doc, _ = items.hits(*words(data[offsets[i]:offsets[j]], offsets[i:j + 1] - offsets[i]))
-            pair = np.unique(doc * len(items.unique) + k)
-            counts += np.bincount(pair % max(1, len(items.unique)), minlength=len(counts))
-    some = np.flatnonzero(counts)
-    yield pa.RecordBatch.from_arrays([pa.array(some), pa.array(counts[some])], ["k", "c"])
-
 
 def _match_rows(batches, items: Items, least: float, id_type):
     for b in batches:
@@ -133,15 +110,17 @@ def _matches(items: Items, h: np.ndarray, doc: np.ndarray, n_docs: int, least: f
         return []
     each = np.repeat(np.arange(len(k)), many)
     seed = np.arange(len(each)) - np.repeat(np.cumsum(many) - many, many) + np.repeat(items.at[k], many)
-    item, place = items.seed_item[seed], items.seed_place[seed]
+    order = np.argsort(items.seed_item[seed], kind="stable")
+    each, item, place = each[order], items.seed_item[seed[order]], items.seed_place[seed[order]]
+    groups = np.append(np.flatnonzero(np.diff(item, prepend=-1)), len(item))
     first = np.searchsorted(doc, np.arange(n_docs + 1))
     out = []
-    for q in np.unique(item).tolist():
+    for low, high in zip(groups[:-1].tolist(), groups[1:].tolist()):
+        q = int(item[low])
         own = items.words[q]
         pad = len(own) // 4 + 4
-        rows = np.flatnonzero(item == q)
-        hit = each[rows]
-        diagonal = at[hit] - place[rows]
+        hit = each[low:high]
+        diagonal = at[hit] - place[low:high]
         bucket = diagonal // pad
         where = np.unique(np.stack([d[hit], bucket], 1), axis=0)
         width = len(own) + 3 * pad
@@ -174,14 +153,8 @@ def matches(df: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_co
     schema = f"i {kind}, item {item_kind}, score double, at_word long"
     for items in _blocks(benchmark.select(F.col(item_col).alias("i"), F.col(item_text).alias("t")), n):
         shared = spark.sparkContext.broadcast(items)
-        rows = texts.mapInArrow(lambda it, s=shared: _count_rows(it, s.value), "k long, c long").groupBy("k").agg(F.sum("c").alias("c")).collect()
-        counts = np.zeros(len(items.unique), np.int64)
-        for r in rows:  # one for each n-gram of the block at most
-            counts[r["k"]] = r["c"]
-        items.choose(counts)
-        chosen = spark.sparkContext.broadcast(items)
         id_type = pa.int64() if item_kind == "bigint" else pa.int32() if item_kind == "int" else pa.string()
-        found = texts.mapInArrow(lambda it, s=chosen, t=id_type: _match_rows(it, s.value, least, t), schema)
+        found = texts.mapInArrow(lambda it, s=shared, t=id_type: _match_rows(it, s.value, least, t), schema)
         out = found if out is None else out.unionByName(found)
     if out is None:
         out = spark.createDataFrame([], schema)

@@ -415,6 +415,24 @@ def test_decontamination_finds_copies_and_edits(spark):
     assert decontaminate.matches(df, bench.where("false")).count() == 0 and decontaminate.matches(frame(spark, []), bench).count() == 0
 
 
+def test_decontamination_finds_copies_with_most_ngrams_broken(spark):
+    """Every 4th or 5th word changed, with and without exact copies elsewhere."""
+    rng, voc = random.Random(21), vocabulary(21)
+    make = lambda n: [rng.choice(voc) for _ in range(n)]
+    items = {k: make(45) for k in range(8)}
+    texts, want = {}, set()
+    for k, own in items.items():
+        copy = list(own)
+        for at in range(3, 45, 4 + k % 2):
+            copy[at] = f"changed{at}"
+        for j, passage in enumerate([copy] + [own] * (5 if k % 4 > 1 else 0)):
+            texts[10 * k + j] = " ".join(make(60) + passage + make(60))
+            want.add((10 * k + j, k))
+    texts |= {1000 + k: " ".join(make(150)) for k in range(20)}
+    bench = spark.createDataFrame([(k, " ".join(v)) for k, v in items.items()], "item_id long, text string")
+    assert {(r["doc_id"], r["item_id"]) for r in decontaminate.matches(frame(spark, texts), bench).collect()} == want
+
+
 # --- operator 8 ---------------------------------------------------------------------------------
 
 

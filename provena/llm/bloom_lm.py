@@ -1,18 +1,16 @@
 """Language-model scoring with a log-frequency Bloom filter (operator 4).
 
-Word counts are exact and stay distributed.  Bigram counts, over a vocabulary of
-the most frequent words with one class for all others, are quantised on a
-logarithmic scale; a count of level q is stored as q entries in a Bloom filter,
-and read again by probing levels until one is missing.  The filter is built in
-segments on the executors and broadcast; its size follows the corpus up to
-`filter_bytes`, beyond which the lowest levels are left out, as in any pruned
-model.  The probability of a word interpolates bigram and unigram:
+Word counts are exact and stay distributed.  Bigram counts, of all words, are
+quantised on a logarithmic scale; a count of level q is stored as q entries in a
+Bloom filter, and read again by probing levels until one is missing.  The filter
+is as large as the bigrams of the corpus need, and stays distributed in shards:
 
-    P(w | v) = share * c(v, class w) / c(v) * P(w) / P(class w) + (1 - share) * P(w)
+    P(w | v) = share * c(v, w) / c(v) + (1 - share) * P(w)
 
-so that log10 P(text) is the exact unigram score plus a correction that needs the
-frequent words only.  Counts of frequent words travel in a table of at most
-`frequent` rows; those of all other words are joined, word by word.
+A chunk of texts asks the shards for the counts of its rare words and of its
+bigrams; questions, answers and the chunk's word numbers travel as packed arrays
+and meet again by chunk, texts don't travel.  Counts of frequent words are known
+everywhere, from a table of at most `frequent` rows.
 
 Null and empty texts have one token, the end.  Repeated rows are counted and
 scored each.  An empty table gives no rows; a corpus without training rows knows
@@ -27,11 +25,20 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from provena.llm.tables import cut
-from provena.llm.textarrays import LOWER, HashIndex, chunks, hash_spans, mix, runs, ship, signed, utf8, word_bounds
+from provena.llm.textarrays import LOWER, HashIndex, chunks, hash_spans, mix, runs, ship, utf8, word_bounds
 
 #: The hash that stands for the end token; no word has it, words are hashed from bytes.
 END = np.uint64(0x5EED0FE2D0FA7E37)
 SEGMENTS = 64
+#: Tokens of the training rows by shard, and shards at least.
+SHARD_TOKENS = 2 << 20
+SHARDS = 32
+#: Bytes of text that ask together: few enough for 16-bit word numbers, mostly.
+ASK_BYTES = 1_000_000
+#: What a packed row holds: a chunk's own arrays, or questions and answers about words or bigrams.
+CHUNK, WORDS, PAIRS = 0, 1, 2
+#: Keys as they travel.  Inside a shard 32 bits tell bigrams apart: an unseen one meets another's key in 1 of 2000 cases, the filter errs in 1 of 100.
+KEY = {WORDS: np.uint64, PAIRS: np.uint32}
 #: A task merges the counts it holds once so many distinct words are new.
 MERGE_AT = 3_000_000
 
@@ -81,35 +88,63 @@ def _emit(counts, name: str):
 
 
 class Words:
-    """The frequent words: their counts, and classes of the most frequent ones for bigrams."""
+    """The counts of the frequent words, and the size of the corpus."""
 
-    def __init__(self, hashes: np.ndarray, counts: np.ndarray, total: int, distinct: int, context: int):
-        """hashes by falling count."""
+    def __init__(self, hashes: np.ndarray, counts: np.ndarray, total: int, distinct: int):
         self.total, self.distinct = total, distinct
+        self.hashes, self.counts = hashes, np.append(counts, -1)
         self.index = HashIndex(hashes, np.arange(len(hashes)))
-        self.log = np.append(np.log10((counts + 0.5) / self.denominator), 0.0)
-        self.counts = np.append(counts, 0)
-        self.context = min(context, len(hashes))
-        p = (counts[:self.context] + 0.5) / self.denominator
-        self.class_p = np.append(p, max(1e-9, 1 - p.sum()))
-        end = np.flatnonzero(hashes == END)
-        self.end_class = int(end[0]) if len(end) and end[0] < self.context else self.context
 
     @property
     def denominator(self) -> float:
         return self.total + 0.5 * (self.distinct + 1)
 
-    def classes(self, h: np.ndarray):
-        """(place among the frequent words or -1, class for bigrams)."""
-        at = self.index.get(h)
-        return at, np.where((at >= 0) & (at < self.context), at, self.context)
 
-    def pairs(self, cls: np.ndarray, doc: np.ndarray) -> np.ndarray:
-        """Keys of bigrams; a text's first word follows an end."""
-        before = np.empty_like(cls)
-        before[1:] = cls[:-1]
-        before[runs(doc, int(doc[-1]) + 1)[:-1] if len(doc) else []] = self.end_class
-        return before * (self.context + 1) + cls
+def pair_keys(v: np.ndarray, w: np.ndarray) -> np.ndarray:
+    return mix(v * np.uint64(0x9E3779B97F4A7C15) + mix(w + np.uint64(0x2545F4914F6CDD1D)))
+
+
+def word_pairs(tok: np.ndarray, doc: np.ndarray, end: int, n: int):
+    """(distinct codes v * n + w, the code's place for each token); a text's first word follows an end."""
+    before = np.empty_like(tok)
+    before[1:] = tok[:-1]
+    before[runs(doc, int(doc[-1]) + 1)[:-1]] = end
+    return np.unique(before * n + tok, return_inverse=True)
+
+
+def _pairs_of(data, offsets):
+    """Keys of all bigrams of texts."""
+    h, doc = tokens(data, offsets)
+    before = np.empty_like(h)
+    before[1:] = h[:-1]
+    before[runs(doc, len(offsets) - 1)[:-1]] = END
+    return pair_keys(before, h)
+
+
+def deal(keys: np.ndarray, shards: int):
+    """(order by shard, [(shard, from, to)] in that order)."""
+    s = (mix(keys ^ np.uint64(0x6A09E667F3BCC909)) % np.uint64(shards)).astype(np.int64)
+    order = np.argsort(s, kind="stable")
+    at = np.searchsorted(s[order], np.arange(shards + 1))
+    return order, [(k, int(at[k]), int(at[k + 1])) for k in range(shards) if at[k] < at[k + 1]]
+
+
+def _dealt(batches, name: str, kind: int, shards: int):
+    """Rows (name, n) as packed rows of shards."""
+    for b in batches:
+        k, n = b.column(name).to_numpy().view(np.uint64), b.column("n").to_numpy()
+        order, parts = deal(k, shards)
+        k, n = k[order].astype(KEY[kind]), n[order]
+        yield pa.RecordBatch.from_arrays(
+            [pa.array([s for s, _, _ in parts], pa.int32()), pa.array([kind] * len(parts), pa.int32()), pa.array([k[i:j].tobytes() for _, i, j in parts], pa.binary()),
+             pa.array([n[i:j].tobytes() for _, i, j in parts], pa.binary())], ["shard", "kind", "a", "b"]
+        )
+
+
+def _unpacked(table: pa.Table, kind: int):
+    """(keys, counts) of the packed rows of a kind."""
+    rows = [(a, b) for k, a, b in zip(*(table.column(c).to_pylist() for c in ("kind", "a", "b"))) if k == kind]
+    return np.frombuffer(b"".join(r[0] for r in rows), KEY[kind]), np.frombuffer(b"".join(r[1] for r in rows), np.int64)
 
 
 class Bloom:
@@ -174,39 +209,44 @@ def _segment(base: float, bits_per_entry: float, probes: int):
     return build
 
 
-def fit(df: DataFrame, text_col: str = "text", frequent: int = 1 << 18, context: int = 4096, base: float = 1.5,
-        bits_per_entry: float = 10.0, probes: int = 5, filter_bytes: int = 32 << 20) -> dict:
-    """Counts and filter over all rows of df: {"counts": DataFrame (w, n), "words": Words, "bloom": Bloom, "least": lowest level kept}."""
+def _shard(base: float, bits_per_entry: float, probes: int):
+    def build(table: pa.Table) -> pa.Table:
+        """A shard's filter from the packed counts of its bigrams: sizes and bits of its segments."""
+        keys, n = _merged([_unpacked(table, PAIRS)])
+        q, seg = level_of(n, base), Bloom.places(keys, 1, 0)[0]
+        order = np.argsort(seg, kind="stable")
+        keys, q, at = keys[order], q[order], np.searchsorted(seg[order], np.arange(SEGMENTS + 1))
+        make, parts = _segment(base, bits_per_entry, probes), []
+        for s in range(SEGMENTS):
+            i, j = at[s], at[s + 1]
+            parts.append(make(pa.table({"k": keys[i:j], "q": q[i:j], "seg": np.full(j - i, s, np.int32)})).column("bits")[0].as_py() if i < j else bytes(8))
+        return pa.table({
+            "shard": table.column("shard")[:1], "kind": pa.array([PAIRS], pa.int32()), "a": pa.array([np.array([len(x) for x in parts]).tobytes()], pa.binary()),
+            "b": pa.array([b"".join(parts)], pa.binary()),
+        })
+
+    return build
+
+
+def fit(df: DataFrame, text_col: str = "text", frequent: int = 1 << 18, context: int | None = None, base: float = 1.5,
+        bits_per_entry: float = 10.0, probes: int = 5) -> dict:
+    """Counts and filter over all rows of df: {"words": Words, "parts": DataFrame of packed rare counts and filters by shard, "shards", "probes", "base"}.
+
+    `context` once bounded the words that bigrams name; all words count now, whatever it says.
+    """
     ship(df.sparkSession)
     texts = df.select(F.col(text_col).alias("t"))
     counts = cut(texts.mapInArrow(lambda it: _counted(it, lambda d, o: tokens(d, o)[0], "w"), "w long, n long").groupBy("w").agg(F.sum("n").alias("n")))
     total = counts.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n"), F.count("*").alias("v")).first()
-    top = counts.where(F.col("n") >= _least_count(counts, frequent)).toPandas().sort_values(["n", "w"], ascending=[False, True])
-    words = Words(top["w"].to_numpy(np.int64).view(np.uint64), top["n"].to_numpy(np.int64), total["n"], total["v"], context)
-    shared = df.sparkSession.sparkContext.broadcast(words)
-
-    def pair_keys(data, offsets):
-        w = shared.value
-        h, doc = tokens(data, offsets)
-        return w.pairs(w.classes(h)[1], doc).astype(np.uint64)
-
-    pairs = texts.mapInArrow(lambda it: _counted(it, pair_keys, "k"), "k long, n long").groupBy("k").agg(F.sum("n").alias("n"))
-    contexts = pairs.groupBy((-1 - F.floor(F.col("k") / (words.context + 1))).cast("long").alias("k")).agg(F.sum("n").alias("n"))
-    q = (1 + F.floor(F.log("n") / F.log(F.lit(base)) + 1e-9)).cast("long")
-    entries = cut(pairs.unionByName(contexts).withColumn("q", q))
-    sizes = {r["q"]: r["m"] for r in entries.groupBy("q").agg(F.count("*").alias("m")).collect()}  # one row for each level
-    need, least = 0.0, max(sizes, default=1)
-    for level in sorted(sizes, reverse=True):
-        need += level * sizes[level] * bits_per_entry / 8
-        if need > filter_bytes:
-            break
-        least = level
-    kept = entries.where((F.col("q") >= least) | (F.col("k") < 0))
-    numbered = kept.select("k", "q").mapInArrow(_with_segment, "k long, q long, seg int")
-    made = numbered.groupBy("seg").applyInArrow(_segment(base, bits_per_entry, probes), "seg int, bits binary").collect()
-    by = {r["seg"]: bytes(r["bits"]) for r in made}  # at most filter_bytes in all
-    bloom = Bloom([by.get(s, bytes(8)) for s in range(SEGMENTS)], probes, base)
-    return {"counts": counts, "words": words, "bloom": bloom, "least": least}
+    least = _least_count(counts, frequent)
+    top = counts.where(F.col("n") >= least).toPandas()
+    words = Words(top["w"].to_numpy(np.int64).view(np.uint64), top["n"].to_numpy(np.int64), total["n"], total["v"])
+    shards = max(SHARDS, total["n"] // SHARD_TOKENS)
+    packed = "shard int, kind int, a binary, b binary"
+    rare = counts.where(F.col("n") < least).mapInArrow(lambda it: _dealt(it, "w", WORDS, shards), packed)
+    pairs = texts.mapInArrow(lambda it: _dealt(_counted(it, _pairs_of, "k"), "k", PAIRS, shards), packed)
+    filters = cut(pairs.groupBy("shard").applyInArrow(_shard(base, bits_per_entry, probes), packed))
+    return {"words": words, "parts": rare.unionByName(filters), "shards": shards, "probes": probes, "base": base}
 
 
 def _least_count(counts: DataFrame, rows: int) -> int:
@@ -222,69 +262,105 @@ def _least_count(counts: DataFrame, rows: int) -> int:
     return least
 
 
-def _with_segment(batches):
-    for b in batches:
-        k = b.column("k").to_numpy()
-        seg = Bloom.places(k, 1, 0)[0].astype(np.int32)
-        yield pa.RecordBatch.from_arrays([b.column("k"), b.column("q"), pa.array(seg)], ["k", "q", "seg"])
-
-
-def _scored(batches, model, share: float):
-    """A head row for each document and a row for each word of it that is not frequent.
-
-    Columns: u (the row's own number), i (its id), w (word hash; a head's own number),
-    tf (0 in heads), n (tokens), known, base, more (log10 of the corrections).
-    """
+def _questions(batches, words: Words, shards: int):
+    """A chunk's ids, word hashes, word numbers and lengths, and what it asks each shard."""
     from pyspark import TaskContext
 
-    words, bloom = model
-    contexts = np.arange(words.context + 1)
-    follow = bloom.counts(-1 - contexts)
     number = TaskContext.get().partitionId() << 40
     for batch in batches:
         data, offsets = utf8(batch.column("t"))
-        for i, j in chunks(offsets):
+        for i, j in chunks(offsets, ASK_BYTES):
             h, doc = tokens(data[offsets[i]:offsets[j]], offsets[i:j + 1] - offsets[i])
-            at, cls = words.classes(h)
-            keys = words.pairs(cls, doc)
-            u, back = np.unique(keys, return_inverse=True)
-            before, after = u // (words.context + 1), u % (words.context + 1)
-            c = follow[before]
-            factor = np.where(c > 0, share * np.minimum(1.0, bloom.counts(u) / np.maximum(c, 1e-9)) / words.class_p[after] + 1 - share, 1.0)
-            more = np.bincount(doc, weights=np.log10(factor)[back], minlength=j - i)
-            base = np.bincount(doc, weights=words.log[at], minlength=j - i)
-            known = np.bincount(doc, weights=at >= 0, minlength=j - i).astype(np.int64)
-            rare = np.flatnonzero(at < 0)
-            own = number + np.arange(j - i)
-            number += j - i
-            zeros = np.zeros(len(rare))
+            own, tok = np.unique(h, return_inverse=True)
+            code, _ = word_pairs(tok, doc, int(np.searchsorted(own, END)), len(own))
+            narrow = tok.astype(np.uint16 if len(own) <= 1 << 16 else np.uint32)
+            known = words.index.get(own)
+            rare = own[known < 0]
+            rows = [(number % shards, CHUNK, known[known >= 0].astype(np.uint32).tobytes(), rare.tobytes(), narrow.tobytes(), np.bincount(doc, minlength=j - i).tobytes())]
+            for kind, keys in ((WORDS, rare), (PAIRS, pair_keys(own[code // len(own)], own[code % len(own)]))):
+                order, parts = deal(keys, shards)
+                keys = keys[order].astype(KEY[kind])
+                rows += [(s, kind, keys[x:y].tobytes(), None, None, None) for s, x, y in parts]
+            s, kind, *packed = zip(*rows)
             ids = batch.column("i").slice(i, j - i)
-            yield pa.RecordBatch.from_arrays([
-                pa.array(np.concatenate([own, own[doc[rare]]])), pa.concat_arrays([ids, pa.nulls(len(rare), ids.type)]),
-                pa.array(np.concatenate([signed(mix(own.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15))), signed(h[rare])])),
-                pa.array(np.concatenate([np.zeros(j - i, np.int32), np.ones(len(rare), np.int32)])),
-                pa.array(np.concatenate([np.bincount(doc, minlength=j - i), zeros.astype(np.int64)])), pa.array(np.concatenate([known, zeros.astype(np.int64)])),
-                pa.array(np.concatenate([base, zeros])), pa.array(np.concatenate([more, zeros])),
-            ], ["u", "i", "w", "tf", "n", "known", "base", "more"])
+            ids = pa.ListArray.from_arrays(pa.array([0] + [j - i] * len(rows), pa.int32()), ids)
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(s, pa.int32()), pa.array([number] * len(rows), pa.int64()), pa.array(kind, pa.int32()), *(pa.array(x, pa.binary()) for x in packed), ids],
+                ["shard", "chunk", "kind", "a", "b", "c", "d", "ids"],
+            )
+            number += 1
+
+
+def _answers(probes: int, base: float):
+    def answer(parts: pa.Table, asked: pa.Table) -> pa.Table:
+        """The rows asked with counts of words or levels of bigrams in place of keys; a chunk's own arrays pass through."""
+        w, n = _unpacked(parts, WORDS)
+        index, bloom = HashIndex(w, n), None
+        for kind, a, b in zip(*(parts.column(c).to_pylist() for c in ("kind", "a", "b"))):
+            if kind == PAIRS:
+                at = np.append(0, np.cumsum(np.frombuffer(a, np.int64)))
+                bloom = Bloom([b[x:y] for x, y in zip(at[:-1], at[1:])], probes, base)
+        out = []
+        for kind, a in zip(asked.column("kind").to_pylist(), asked.column("a").to_pylist()):
+            if kind != CHUNK:
+                keys = np.frombuffer(a, KEY[kind])
+                if kind == WORDS:
+                    a = np.maximum(index.get(keys), 0).tobytes()  # 0 for a word that is new
+                else:
+                    a = (bloom.levels(keys) if bloom else np.zeros(len(keys))).astype(np.uint8).tobytes()
+            out.append(a)
+        at = asked.schema.get_field_index("a")
+        return asked.set_column(at, "a", pa.array(out, pa.binary()))
+
+    return answer
+
+
+def _scores(words: Words, shards: int, base: float, share: float, id_col: str):
+    def scores(table: pa.Table) -> pa.Table:
+        """The documents of one chunk from its own arrays and the shards' answers."""
+        col = {c: table.column(c).to_pylist() for c in ("shard", "kind", "a", "b", "c", "d")}
+        at = col["kind"].index(CHUNK)
+        own = np.sort(np.concatenate([words.hashes[np.frombuffer(col["a"][at], np.uint32)], np.frombuffer(col["b"][at], np.uint64)]))
+        size = np.frombuffer(col["d"][at], np.int64)
+        tok = np.frombuffer(col["c"][at], np.uint16 if len(own) <= 1 << 16 else np.uint32).astype(np.int64)
+        doc = np.repeat(np.arange(len(size)), size)
+
+        def replies(kind, keys, dtype):
+            got = dict((s, a) for s, k, a in zip(col["shard"], col["kind"], col["a"]) if k == kind)
+            out = np.zeros(len(keys), np.int64)
+            order, parts = deal(keys, shards)
+            out[order] = np.frombuffer(b"".join(got[s] for s, _, _ in parts), dtype)
+            return out
+
+        n = words.counts[words.index.get(own)]
+        rare = np.flatnonzero(n < 0)
+        n[rare] = replies(WORDS, own[rare], np.int64)
+        code, back = word_pairs(tok, doc, int(np.searchsorted(own, END)), len(own))
+        v, w = code // len(own), code % len(own)
+        q = replies(PAIRS, pair_keys(own[v], own[w]), np.uint8)
+        c = np.minimum(np.where(q > 0, base ** (q - 0.5), 0.0), np.minimum(n[v], n[w]))  # a bigram is as rare as its words
+        p = (n + 0.5) / words.denominator
+        factor = np.where(n[v] > 0, share * c / np.maximum(n[v], 1) / p[w] + 1 - share, 1.0)
+        total = lambda x: np.bincount(doc, weights=x, minlength=len(size))
+        score = total(np.log10(p)[tok])
+        return pa.table({
+            id_col: table.column("ids").slice(at, 1).combine_chunks().flatten(), "n_tokens": size, "n_known": total(n[tok] > 0).astype(np.int64),
+            "train_tokens": np.full(len(size), words.total, np.int64), "base_score": score, "score": score + total(np.log10(factor)[back]),
+        })
+
+    return scores
 
 
 def score(df: DataFrame, model: dict, id_col: str = "doc_id", text_col: str = "text", share: float = 0.7) -> DataFrame:
     """One row per document: id, n_tokens, n_known, train_tokens, base_score (unigram) and score (the model's log10 probability)."""
     ship(df.sparkSession)
-    words = model["words"]
-    shared = df.sparkSession.sparkContext.broadcast((words, model["bloom"]))
+    shards, base = model["shards"], model["base"]
+    shared = df.sparkSession.sparkContext.broadcast(model["words"])
     kind = dict(df.dtypes)[id_col]
-    rows = df.select(F.col(id_col).alias("i"), F.col(text_col).alias("t")).mapInArrow(
-        lambda it: _scored(it, shared.value, share), f"u long, i {kind}, w long, tf int, n long, known long, base double, more double"
-    )
-    counts = model["counts"].select("w", F.col("n").alias("c"))
-    c = F.coalesce("c", F.lit(0))
-    rare = F.when(F.col("tf") > 0, F.log10((c + 0.5) / words.denominator)).otherwise(0.0)
-    return (
-        rows.join(counts, "w", "left")
-        .groupBy("u").agg(
-            F.max("i").alias(id_col), F.sum("n").alias("n_tokens"), (F.sum("known") + F.sum((F.col("tf") * (c > 0).cast("int")).cast("long"))).alias("n_known"),
-            (F.sum("base") + F.sum(rare)).alias("base_score"), F.sum("more").alias("more"),
-        )
-        .select(id_col, "n_tokens", "n_known", F.lit(words.total).cast("long").alias("train_tokens"), "base_score", (F.col("base_score") + F.col("more")).alias("score"))
+    packed = f"shard int, chunk long, kind int, a binary, b binary, c binary, d binary, ids array<{kind}>"
+    asked = df.select(F.col(id_col).alias("i"), F.col(text_col).alias("t")).mapInArrow(lambda it: _questions(it, shared.value, shards), packed)
+    answered = model["parts"].groupBy("shard").cogroup(asked.groupBy("shard")).applyInArrow(_answers(model["probes"], base), packed)
+    return answered.groupBy("chunk").applyInArrow(
+        lambda table: _scores(shared.value, shards, base, share, id_col)(table),
+        f"`{id_col}` {kind}, n_tokens long, n_known long, train_tokens long, base_score double, score double",
     )

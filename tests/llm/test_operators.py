@@ -315,6 +315,26 @@ def test_language_model(spark, corpus):
     assert sum(r["score"] for r in got.values()) > sum(r["base_score"] for r in got.values())
 
 
+def test_language_model_counts_bigrams_of_rare_words(spark):
+    """More words than were once told apart in bigrams: those that were seen together are likelier than those that were not."""
+    w = [f"w{k}" for k in range(10_000)]
+    df = frame(spark, {k: f"{w[k]} {w[k + 1]} {w[k]} {w[k + 1]}" for k in range(0, 10_000, 2)})
+    model = bloom_lm.fit(df, frequent=50, context=40)
+    odd = {k: f"{w[k]} {w[k + 3]} {w[k]} {w[k + 3]}" for k in range(0, 9000, 100)}
+    got = {r["doc_id"]: r for r in bloom_lm.score(df.where("doc_id < 9000 and doc_id % 100 = 0"), model).collect()}
+    other = {r["doc_id"]: r for r in bloom_lm.score(frame(spark, odd), model).collect()}
+    n, v = 25_000, 10_001
+    p, end = 2.5 / (n + 0.5 * (v + 1)), 5000.5 / (n + 0.5 * (v + 1))
+    for k in odd:
+        assert got[k]["base_score"] == pytest.approx(4 * math.log10(p) + math.log10(end), rel=1e-9) and got[k]["base_score"] == pytest.approx(other[k]["base_score"], rel=1e-9)
+        c2, c1 = 1.5 ** 1.5, 1.5 ** 0.5  # the middle of the levels of counts 2 and 1
+        first, inner, turn, last = c1 / 5000, min(c2, 2) / 2, c1 / 2, c1 / 2
+        want = math.log10(0.7 * first + 0.3 * p) + 2 * math.log10(0.7 * inner + 0.3 * p) + math.log10(0.7 * turn + 0.3 * p) + math.log10(0.7 * last + 0.3 * end)
+        assert got[k]["score"] >= want - 1e-9
+    assert sum(got[k]["score"] - want < 1e-6 for k in odd) > 0.8 * len(odd)
+    assert all(got[k]["score"] > other[k]["score"] + 3 for k in odd)
+
+
 def test_bloom_counts_are_quantised_counts():
     import pyarrow as pa
 

@@ -534,3 +534,13 @@ def test_pipeline_stages_keep_clean_documents(spark, tmp_path):
     assert set(clean) <= kept[-1] and not any(k >= 200 for k in kept[0])
     assert 100 not in kept[1] and 101 in kept[1] and 102 in kept[2] and 102 not in kept[3]
     assert {r["doc_id"] for r in corpus_pipeline.run(spark, str(tmp_path)).collect()} == kept[-1]
+
+
+def test_near_copies_of_the_pipeline_are_those_of_0_8(spark):
+    """A copy cut to its first 82 % goes, one cut to its first 78 % stays."""
+    import corpus_pipeline
+
+    words_of = lambda k: [f"a{k}b{i}" for i in range(300)]
+    texts = {1: words_of(1), 2: words_of(1)[:246], 3: words_of(3), 4: words_of(3)[:234]}
+    got = corpus_pipeline.near_copies(spark, frame(spark, {k: " ".join(w) for k, w in texts.items()}), "")
+    assert {r["doc_id"] for r in got.collect()} == {1, 3, 4}

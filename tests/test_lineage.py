@@ -113,6 +113,12 @@ def test_graphs_against_plain_python(spark):
     assert {r["node"]: r["component"] for r in graph.components(df).collect()} == part
 
 
+def test_depths_follow_a_chain_to_its_end(spark, monkeypatch):
+    monkeypatch.setattr(graph, "MAX_LEVELS", 5)
+    e = spark.createDataFrame([("p", f"n{k:02}", f"n{k + 1:02}") for k in range(8)], "program_id string, src string, dst string")
+    assert {r["node"]: r["depth"] for r in graph.depths(e).collect()} == {f"n{k:02}": k for k in range(9)}
+
+
 def test_empty_corpus(spark):
     cat = Catalog.of(programs(spark, {"p": ""}))
     assert rows(cat.edges) == [] and lineage.construction(cat).count() == 0

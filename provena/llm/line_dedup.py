@@ -8,8 +8,12 @@ earlier line, by document id and place, is equal or similar enough.
 Most lines that have a match have the first line of some prefix token's list as a
 match; only lines that don't are compared with the rest of their lists.
 
-Lines without words are never removed.  Null and empty texts stay as they are.
-Rows of equal id count as one document.  A text that loses no line is unchanged.
+Lines without words are never removed.  Null and empty texts stay as they are, and a
+text that loses no line is unchanged; a very long text is read in blocks of words.
+Rows of equal id share one place in the order: a line of theirs goes if it stands in
+a smaller id or under a smaller line number, and each row loses lines of its own text
+only; repeated rows stay both.  Null ids come first.  An empty table gives an empty
+one.  All columns of the table stay; those of the names of the counts are replaced.
 """
 
 from __future__ import annotations
@@ -20,38 +24,34 @@ from pyspark.sql import functions as F
 from provena.llm.quality_rules import let
 from provena.llm.setjoin import Join, candidates
 from provena.llm.setjoin import lines as split_lines
-from provena.llm.tables import cut, small
+from provena.llm.tables import by_key, cut, small, unused
 
 
 def removals(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: int = 5, percent: int = 80) -> DataFrame:
-    """(i, lines): the documents that lose lines, and the numbers of those lines."""
+    """(i, k, lines): the documents that lose lines, a hash of the text, and the numbers of those lines."""
     join = Join(df, id_col, text_col, split_lines, n, percent, adaptive=False)
     lists = join.lists()
-    place = join.classes.select("c", "place")
-    later = lambda pairs: pairs.join(place.select(F.col("c").alias("a"), F.col("place").alias("pa")), "a").join(
-        place.select(F.col("c").alias("b"), F.col("place").alias("pb")), "b"
-    ).where("pb < pa").select(F.col("a").alias("c"))
-    gone = cut(later(join.linked(join.stars(lists))).distinct())
-    placed = lists.drop("first").join(place, "c")
-    left = placed.join(gone, "c", "left_anti")
-    more = join.linked(candidates(left, placed, percent, F.col("y.place") < F.col("x.place"), ordered=True)).select(F.col("a").alias("c"))
-    gone = gone.union(more).distinct().withColumn("g", F.lit(True))
-    first = join.classes.select("c", F.col("place").alias("first")).join(gone, "c", "left")
-    lost = join.rows.where("n > 0").join(first, "c").where("g or place != first")
-    return lost.groupBy("i").agg(F.collect_set("line").alias("lines"))
+    gone = cut(join.linked(join.stars(lists)).select(F.col("a").alias("c")).distinct())
+    left = lists.join(small(gone), "c", "left_anti")
+    more = join.linked(candidates(left, lists, percent, F.col("y.place") < F.col("x.place"), ordered=True)).select(F.col("a").alias("c"))
+    gone = cut(gone.union(more).distinct().withColumn("g", F.lit(True)))
+    first = join.classes.select("c", "members", F.col("place").alias("first")).join(small(gone), "c", "left").where("g or members > 1")
+    lost = by_key(join.rows.where("n > 0").select("i", "k", "line", "c", "place"), cut(first), "c", "members").where("g or place != first")
+    return lost.groupBy("i", "k").agg(F.collect_set("line").alias("lines"))
 
 
 def line_dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: int = 5, percent: int = 80, counts: tuple = ("n_lines", "n_removed")) -> DataFrame:
     """df with the text's later matches removed, and the two counts added (columns of df of these names are replaced)."""
     lost = cut(removals(df, id_col, text_col, n, percent))
-    size = lost.agg(F.count("*").alias("d"), F.coalesce(F.sum(F.size("lines")), F.lit(0)).alias("w")).first()
-    lost = small(lost.select(F.col("i").alias("__i"), F.col("lines").alias("__lost")), 1, rows=48 * size["d"] + 8 * size["w"])
-    joined = df.join(lost, F.col(id_col).eqNullSafe(F.col("__i")), "left")
-    split = F.split(F.col(text_col), "\n")
+    many = lost.agg(F.coalesce(F.sum(F.size("lines")), F.lit(0))).first()[0]
+    i, k, gone = (unused(df, x) for x in ("__i", "__k", "__lost"))
+    lost = small(lost.select(F.col("i").alias(i), F.col("k").alias(k), F.col("lines").alias(gone)), extra=8 * many)
+    joined = df.join(lost, F.col(f"`{id_col}`").eqNullSafe(F.col(i)) & (F.xxhash64(F.col(f"`{text_col}`")) == F.col(k)), "left")
+    split = F.split(F.col(f"`{text_col}`"), "\n")
     kept = let(split, lambda parts: F.array_join(
-        F.transform(F.array_except(F.sequence(F.lit(0), F.size(parts) - 1), F.col("__lost")), lambda k: F.get(parts, k)), "\n"
+        F.transform(F.array_except(F.sequence(F.lit(0), F.size(parts) - 1), F.col(gone)), lambda k: F.get(parts, k)), "\n"
     ))
-    text = F.when(F.col("__lost").isNull(), F.col(text_col)).otherwise(kept)
-    n_lines = F.when(F.col(text_col).isNull(), F.lit(0)).otherwise(F.size(split)).cast("long")
+    text = F.when(F.col(gone).isNull(), F.col(f"`{text_col}`")).otherwise(kept)
+    n_lines = F.when(F.col(f"`{text_col}`").isNull(), F.lit(0)).otherwise(F.size(split)).cast("long")
     columns = [text.alias(c) if c == text_col else F.col(f"`{c}`") for c in df.columns if c not in counts]
-    return joined.select(*columns, n_lines.alias(counts[0]), F.coalesce(F.size("__lost"), F.lit(0)).cast("long").alias(counts[1]))
+    return joined.select(*columns, n_lines.alias(counts[0]), F.coalesce(F.size(gone), F.lit(0)).cast("long").alias(counts[1]))

@@ -24,18 +24,18 @@ def ngram_join(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", n:
     """One row per document: id, n_shingles, component_id (the smallest id reachable by links)."""
     join = Join(df, id_col, text_col, whole, n, percent, adaptive)
     lists = join.lists()
-    links = cut(join.linked(join.stars(lists)))
+    links = join.linked(join.stars(lists))
     comp = components(links)
 
     # What the stars leave apart: lists with more than one component; members outside a list's largest one meet all others.
     placed = lists.join(comp, "c", "left").withColumn("comp", F.coalesce("comp", "c")).drop("first")
     by = placed.groupBy("token", "comp").agg(F.count("*").alias("k"))
-    main = by.groupBy("token").agg(F.max(F.struct("k", "comp")).alias("x"), F.count("*").alias("m")).where("m > 1").select("token", F.col("x.comp").alias("main"))
+    main = by.groupBy("token").agg(F.max_by("comp", F.shiftleft("k", 32) + F.pmod(F.xxhash64("comp"), F.lit(1 << 32))).alias("main"), F.count("*").alias("m")).where("m > 1").select("token", "main")
     open_lists = cut(placed.join(main, "token"))
     strays = open_lists.where("comp != main")
     apart = (F.col("x.comp") != F.col("y.comp")) & ((F.col("y.comp") == F.col("y.main")) | (F.col("x.c") < F.col("y.c")))
     more = join.linked(candidates(strays, open_lists, percent, apart))
-    comp = components(links.union(cut(more)))
+    comp = components(links.union(more))
 
     named = join.classes.select("c", "low").join(comp, "c", "left").withColumn("comp", F.coalesce("comp", "c"))
     lows = named.groupBy("comp").agg(F.min("low").alias("component"))

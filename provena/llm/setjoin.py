@@ -22,18 +22,18 @@ from pyspark.sql import functions as F
 
 from provena.llm.tables import cut, small
 from provena.llm.textarrays import (
-    LOWER,
     chunks,
-    hash_spans,
+    hashed_words,
     mix,
     ngram_hashes,
+    order_in_units,
     ragged,
     runs,
     shingle_sets,
     ship,
     signed,
+    tidy,
     utf8,
-    word_bounds,
 )
 
 SKETCH_BITS = 22
@@ -62,12 +62,6 @@ def lines(data: np.ndarray, offsets: np.ndarray):
     return np.append(starts, offsets[-1]), docs, number.astype(np.int32)
 
 
-def _words(data, units):
-    low = LOWER[data]
-    s, e, unit = word_bounds(low, units)
-    return hash_spans(low, s, e), unit
-
-
 def _sketch_rows(batches, split, n: int):
     """Counts of a task's shingles by bucket, as PARTS rows."""
     from pyspark import TaskContext
@@ -77,9 +71,10 @@ def _sketch_rows(batches, split, n: int):
         data, offsets = utf8(b.column("t"))
         for i, j in chunks(offsets):
             part, o = data[offsets[i]:offsets[j]], offsets[i:j + 1] - offsets[i]
-            h, unit = _words(part, split(part, o)[0])
-            at, c = np.unique(ngram_hashes(h, unit, n)[0] >> np.uint64(64 - SKETCH_BITS), return_counts=True)
-            counts[at.astype(np.int64)] += c.astype(np.uint32)
+            h, unit = hashed_words(part, split(part, o)[0])
+            at = np.sort((ngram_hashes(h, unit, n)[0] >> np.uint64(64 - SKETCH_BITS)).astype(np.uint32))
+            first = np.flatnonzero(np.diff(at, prepend=np.uint32(0xFFFFFFFF)))
+            counts[at[first]] += np.diff(first, append=len(at)).astype(np.uint32)
     own = TaskContext.get().partitionId()
     rows = [np.minimum(x, 255).astype(np.uint8).tobytes() for x in counts.reshape(PARTS, -1)]  # a count of 255 in one task is frequent, however great
     yield pa.RecordBatch.from_arrays([pa.array(np.arange(PARTS, dtype=np.int32)), pa.array(np.full(PARTS, own % 32, np.int32)), pa.array(rows, pa.binary())], ["p", "salt", "c"])
@@ -97,7 +92,7 @@ def _add(t: pa.Table) -> pa.Table:
 
 def sketch(df: DataFrame, text_col: str, split, n: int) -> np.ndarray:
     """Logarithmic excess of each bucket's count over what chance puts there: 4 MB, whatever the corpus."""
-    rows = df.select(F.col(text_col).alias("t")).mapInArrow(lambda it: _sketch_rows(it, split, n), "p int, salt int, c binary")
+    rows = df.select(F.col(text_col).alias("t")).mapInArrow(lambda it: tidy(_sketch_rows(it, split, n)), "p int, salt int, c binary")
     schema = "p int, salt int, c binary"
     by_salt = rows.groupBy("p", "salt").applyInArrow(_add, schema)
     got = by_salt.groupBy("p").applyInArrow(_add, schema).collect()  # PARTS rows, 16 MB
@@ -120,7 +115,7 @@ def fingerprints(h: np.ndarray, start: np.ndarray, seed: int = 0):
 def _prefix(h, unit, n_units: int, level: np.ndarray, percent: int, adaptive: bool):
     """(tokens of the prefixes, their lengths, l) of non-empty units in order."""
     own = level[(h >> np.uint64(64 - SKETCH_BITS)).astype(np.int64)]
-    order = np.lexsort((h, own, unit))
+    order = order_in_units(unit, h, n_units, own, 8)
     h, own = h[order], own[order]
     start = runs(unit[order], n_units)
     size = np.diff(start)
@@ -142,195 +137,175 @@ def _prefix(h, unit, n_units: int, level: np.ndarray, percent: int, adaptive: bo
 
 
 class Join:
-    """One set-similarity join over df: which units, how many words a shingle, what threshold, and how it is laid out."""
+    """One set-similarity join over df: which units, how many words a shingle, what threshold, and how it is laid out.
+
+    The texts are read twice: for the sketch, and for `rows`, a table of a row per
+    unit with its prefix tokens, on which all else works.
+    """
 
     def __init__(self, df: DataFrame, id_col: str, text_col: str, split, n: int, percent: int, adaptive: bool):
         ship(df.sparkSession)
-        self.texts = df.select(F.col(id_col).alias("i"), F.col(text_col).alias("t"))
+        self.texts = df.select(F.col(id_col).alias("i"), F.col(text_col).alias("t"), F.xxhash64(text_col).alias("k"))
         self.kind = dict(df.dtypes)[id_col]
         self.split, self.n, self.percent, self.adaptive, self.seed = split, n, percent, adaptive, 0
-        self.rows = self._rows()
+        self.level = df.sparkSession.sparkContext.broadcast(sketch(df, text_col, split, n))
+        self._number()
         while not self.classes.where("f2 != g2").isEmpty():  # two sets with one 64-bit number: number them anew
             self.seed += 1
-            self.rows = self._rows()
-        self.level = df.sparkSession.sparkContext.broadcast(sketch(df, text_col, split, n))
+            self._number()
 
-    def _rows(self) -> DataFrame:
-        """A row per unit: document id i, line, place, set size n, class number c (null without words) and a second fingerprint."""
-        split, n, seed = self.split, self.n, self.seed
-        rows = cut(self.texts.mapInArrow(lambda it: _unit_rows(it, split, n, seed), f"i {self.kind}, line int, n int, c long, f2 long"))
-        self.place = self._placing(rows)
-        rows = rows.withColumn("place", self.place)
-        self.classes = cut(rows.where("n > 0").groupBy("c").agg(
-            F.min("place").alias("place"), F.first("n").alias("n"), F.min("f2").alias("f2"), F.max("f2").alias("g2"), F.min("i").alias("low"),
+    def _number(self) -> None:
+        """rows: document id i, a hash k of its text, line, place, set size n, class number c (null without words), a second fingerprint, prefix tokens t and their l."""
+        split, n, seed, percent, adaptive, level = self.split, self.n, self.seed, self.percent, self.adaptive, self.level
+        rows = cut(self.texts.mapInArrow(
+            lambda it: tidy(_unit_rows(it, split, n, seed, level.value, percent, adaptive)), f"i {self.kind}, k long, line int, n int, c long, f2 long, t array<long>, l int"
+        ))
+        self._set_places(rows)
+        self.rows = rows.withColumn("place", self.place)
+        self.classes = cut(self.rows.where("n > 0").groupBy("c").agg(
+            F.min("place").alias("place"), F.count("*").alias("members"), F.min("f2").alias("f2"), F.max("f2").alias("g2"), F.min("i").alias("low"),
         ))
-        return rows
 
-    def _placing(self, rows: DataFrame) -> Column:
+    def _set_places(self, rows: DataFrame) -> None:
         """A column that orders units by id and line: one long where both fit, else a struct; null ids come first."""
-        self.shift = None
-        if self.kind in ("bigint", "int"):
-            x = rows.agg(F.min("i").alias("a"), F.max("i").alias("b"), F.max("line").alias("l")).first()
-            shift = int(x["l"] or 0).bit_length()
-            if (x["a"] or 0) >= 0 and int(x["b"] or 0).bit_length() + shift < 62:
-                self.shift = shift
-                return F.shiftleft(F.coalesce(F.col("i"), F.lit(-1)).cast("long"), shift).bitwiseOR(F.col("line").cast("long"))
-        return F.struct("i", "line")
-
-    def _located(self) -> DataFrame:
-        """(c, i, line): where a class's first unit lies."""
+        self.shift, self.place = None, F.struct("i", "line")
+        if self.kind not in ("bigint", "int"):
+            return
+        x = self.texts.agg(F.min("i").alias("a"), F.max("i").alias("b")).first()
+        if (x["a"] or 0) < 0:
+            return
+        bits, shift = int(x["b"] or 0).bit_length(), 31
+        if bits + shift > 62:
+            shift = int(rows.agg(F.max("line")).first()[0] or 0).bit_length()
+        if bits + shift <= 62:
+            self.shift = shift
+            self.place = F.shiftleft(F.coalesce(F.col("i"), F.lit(-1)).cast("long"), shift).bitwiseOR(F.col("line").cast("long"))
+
+    def _located(self, classes: DataFrame) -> DataFrame:
+        """(c, i, line) of rows (c, place)."""
         if self.shift is None:
-            return self.classes.select("c", F.col("place.i").alias("i"), F.col("place.line").alias("line"))
+            return classes.select("c", F.col("place.i").alias("i"), F.col("place.line").alias("line"))
         i = F.shiftright("place", self.shift)
-        return self.classes.select("c", F.when(i >= 0, i).cast(self.kind).alias("i"), F.col("place").bitwiseAND(F.lit((1 << self.shift) - 1)).cast("int").alias("line"))
-
-    def _postings(self, columns: str) -> DataFrame:
-        split, n, seed, percent, adaptive, level = self.split, self.n, self.seed, self.percent, self.adaptive, self.level
-        return self.texts.mapInArrow(
-            lambda it: _prefix_rows(it, split, n, seed, level.value, percent, adaptive), f"token long, c long, i {self.kind}, line int, n int, pos int, l int"
-        ).select(*columns.split())
+        return classes.select("c", F.when(i >= 0, i).cast(self.kind).alias("i"), F.col("place").bitwiseAND(F.lit((1 << self.shift) - 1)).cast("int").alias("line"))
 
     def lists(self) -> DataFrame:
-        """Prefix tokens that two classes share: a row (token, c, n, pos, l) per class, with the place of the list's first class.
+        """Prefix tokens that two classes share: a row (token, c, place, n, pos, l) per class, with the place of the list's first class.
 
-        What is shared is found first, from tokens and class numbers alone, so that
-        the much larger rest of the prefixes is not sorted or kept.
+        What is shared is found first, from tokens, class numbers and places alone, so
+        that the much larger rest of the prefixes is not sorted or kept.
         """
-        every = self._postings("token c i line").select("token", "c", self.place.alias("place"))
+        worded = self.rows.where("n > 0")
+        every = worded.select(F.explode("t").alias("token"), "c", "place")
         shared = cut(
             every.groupBy("token").agg(F.min("c").alias("a"), F.max("c").alias("b"), F.min("place").alias("first")).where("a != b").select("token", "first")
         )
-        rows = self._postings("token c n pos l").join(small(shared, 24), "token")
-        return cut(rows.dropDuplicates(["token", "c"]))
+        rows = worded.select(F.posexplode("t").alias("pos", "token"), "c", "place", "n", "l").join(small(shared), "token")
+        one = [F.min(x).alias(x) for x in ("place", "n", "pos", "l", "first")]  # of a class all but the places are equal
+        return cut(rows.groupBy("token", "c").agg(*one))
 
     def stars(self, lists: DataFrame) -> DataFrame:
-        """(a, b): for each class the class b that comes first in most of its lists, if that isn't itself and their sizes allow a link."""
-        placed = lists.join(self.classes.select("c", "place"), "c")
-        votes = placed.where(F.col("place") != F.col("first")).groupBy("c", "first", "n").agg(F.count("*").alias("v"))
-        lead = self.classes.groupBy("place").agg(F.min(F.struct("c", "n")).alias("y")).select(F.col("place").alias("first"), "y")
-        fits = 100 * F.least("n", "y.n") >= self.percent * F.greatest("n", "y.n")
-        good = votes.join(lead, "first").where(fits & (F.col("c") != F.col("y.c")))
-        return good.groupBy("c").agg(F.max(F.struct("v", "y")).alias("x")).select(F.col("c").alias("a"), F.col("x.y.c").alias("b"))
-
-    def _unit_texts(self, at: DataFrame, *columns: str) -> DataFrame:
-        """The units' texts (column x) at (i, line), with the given columns of `at`."""
-        found = self.texts.join(at.withColumnRenamed("i", "__i"), F.col("i").eqNullSafe(F.col("__i")))
-        text = F.coalesce("t", F.lit(""))
-        return found.select(*columns, (text if self.split is whole else F.get(F.split(text, "\n"), F.col("line"))).alias("x"))
+        """(a, pa, b, pb): for each class the class b that comes first in most of its lists, if that isn't itself and their sizes allow a link."""
+        votes = lists.where(F.col("place") != F.col("first")).groupBy("c", "place", "first", "n").agg(F.count("*").alias("v"))
+        lead = cut(lists.where(F.col("place") == F.col("first")).select("first", F.col("c").alias("yc"), F.col("n").alias("yn")).distinct())
+        fits = 100 * F.least("n", "yn") >= self.percent * F.greatest("n", "yn")
+        good = votes.join(small(lead), "first").where(fits & (F.col("c") != F.col("yc")))
+        rank = F.shiftleft("v", 32) + F.pmod(F.xxhash64("yc"), F.lit(1 << 32))
+        best = good.groupBy("c", "place").agg(F.max_by("yc", rank).alias("b"), F.max_by("first", rank).alias("pb"))
+        return best.select(F.col("c").alias("a"), F.col("place").alias("pa"), "b", "pb")
+
+    def _sets(self, at: DataFrame, quarter: bool) -> DataFrame:
+        """(c, h): the sets of classes at (c, place), or the quarter of their tokens of lowest hash bits.  Each document is read once, whatever its lines are asked for."""
+        split, n, seed = self.split, self.n, self.seed
+        asked = cut(self._located(at).groupBy("i").agg(F.collect_list("line").alias("lines")))
+        many = asked.agg(F.coalesce(F.sum(F.size("lines")), F.lit(0))).first()[0]
+        found = self.texts.join(small(asked.withColumnRenamed("i", "__i"), extra=8 * many), F.col("i").eqNullSafe(F.col("__i"))).select("t", "lines")
+        sets = found.mapInArrow(lambda it: tidy(_set_rows(it, split, n, seed, quarter)), "c long, h array<long>")
+        return cut(sets.dropDuplicates(["c"]))  # rows of equal id may hold a class twice
 
     def linked(self, pairs: DataFrame) -> DataFrame:
-        """The pairs (a, b) of classes whose sets reach the threshold.
+        """The pairs (a, pa, b, pb) of classes whose sets reach the threshold.
 
-        A quarter of each set's tokens, chosen by their hashes, comes first: as many of
-        it as one set lacks of the other's, the sets differ in at least.  Pairs that
-        can't be similar go by that alone; the rest are compared on the units' own texts.
+        Of whole documents a quarter of each set's tokens, chosen by their hashes, comes
+        first: as many of it as one set lacks of the other's, the sets differ in at
+        least.  Pairs that can't be similar go by that alone.  Whole sets decide.
         """
-        pairs = cut(pairs.select("a", "b").distinct())
-        asked = cut(pairs.select(F.col("a").alias("c")).union(pairs.select(F.col("b").alias("c"))).distinct().join(self._located(), "c").join(self.classes.select("c", "n"), "c"))
-        words_n, seed, percent = self.n, self.seed, self.percent
-        texts = self._unit_texts(small(asked, 40), "c", "n")
-        marks = cut(texts.mapInArrow(lambda it: _quarter_rows(it, words_n, seed), "c long, n int, q array<int>").dropDuplicates(["c"]))
-        x, y = (marks.select(F.col("c").alias(k), F.col("n").alias(f"n{k}"), F.col("q").alias(f"q{k}")) for k in "ab")
-        both = pairs.join(x, "a").join(y, "b")
-        overlap = F.ceil(percent * (F.col("na") + F.col("nb")) / (100.0 + percent) - 1e-9)
-        common = F.size(F.array_intersect("qa", "qb"))
-        near = (F.size("qa") - common <= F.col("na") - overlap) & (F.size("qb") - common <= F.col("nb") - overlap)
-        pairs = cut(both.where(near).select("a", "b"))
-        where = self._located()
-        n = pairs.count()
-        left = pairs.join(where.withColumnRenamed("c", "a"), "a")
-        right = pairs.select("b").distinct().join(where.withColumnRenamed("c", "b"), "b")
-        x = self._unit_texts(small(left, 40, n), "a", "b").withColumnRenamed("x", "xa")
-        y = self._unit_texts(small(right, 32, n), "b").withColumnRenamed("x", "xb")
-        return x.join(y, "b").select("a", "b", "xa", "xb").mapInArrow(lambda it: _linked_rows(it, words_n, seed, percent), "a long, b long").distinct()
-
-
-def _quarter_rows(batches, n: int, seed: int):
-    for batch in batches:
-        asked = batch.column("c").to_numpy()
-        for i, j in chunks(utf8(batch.column("x"))[1]):
-            h, row, c, _ = _sets(batch.column("x"), n, seed, i, j)
-            some = h & np.uint64(3) == 0
-            h, row = h[some], row[some]
-            low = (h >> np.uint64(32)).astype(np.uint32).view(np.int32)
-            fresh = np.ones(len(h), bool)  # sorted by row and hash: tokens of equal upper halves count once
-            fresh[1:] = (low[1:] != low[:-1]) | (row[1:] != row[:-1])
-            low, row = low[fresh], row[fresh]
-            upto = np.searchsorted(row, np.arange(j - i + 1)).astype(np.int32)
-            out = pa.RecordBatch.from_arrays([pa.array(c), batch.column("n").slice(i, j - i), pa.ListArray.from_arrays(pa.array(upto), pa.array(low))], ["c", "n", "q"])
-            yield out.filter(pa.array(c == asked[i:j]))  # rows of equal id: only those of the class
-
-
-def _sets(column, n: int, seed: int, i: int, j: int):
-    """(hashes, rows, class numbers) of the texts i to j of a column."""
-    data, offsets = utf8(column.slice(i, j - i))
-    h, row = shingle_sets(*_words(data, offsets), j - i, n)
-    size = np.bincount(row, minlength=j - i)
-    f = np.zeros(j - i, np.uint64)
-    full = np.flatnonzero(size)
-    f[full] = fingerprints(h, (np.cumsum(size) - size)[full], seed)[0]
-    return h, row, signed(f), size
-
-
-def _linked_rows(batches, n: int, seed: int, percent: int):
-    for batch in batches:
-        a, b = batch.column("a").to_numpy(), batch.column("b").to_numpy()
-        both = utf8(batch.column("xa"))[1] + utf8(batch.column("xb"))[1]
-        for i, j in chunks(both):
-            ha, ra, ca, na = _sets(batch.column("xa"), n, seed, i, j)
-            hb, rb, cb, nb = _sets(batch.column("xb"), n, seed, i, j)
-            h, r = np.concatenate([ha, hb]), np.concatenate([ra, rb])
-            order = np.lexsort((h, r))
-            h, r = h[order], r[order]
-            same = (h[1:] == h[:-1]) & (r[1:] == r[:-1])
-            k = np.bincount(r[1:][same], minlength=j - i)
-            good = (100 * k >= percent * (na + nb - k)) & (ca == a[i:j]) & (cb == b[i:j])  # rows of equal id: only those of the class
-            yield pa.RecordBatch.from_arrays([pa.array(a[i:j][good]), pa.array(b[i:j][good])], ["a", "b"])
-
-
-def _chunked(batches, split):
+        pairs = cut(pairs.select("a", "pa", "b", "pb").dropDuplicates(["a", "b"]))
+        for quarter in (True, False) if self.split is whole else (False,):
+            ends = pairs.select(F.col("a").alias("c"), F.col("pa").alias("place")).union(pairs.select(F.col("b").alias("c"), F.col("pb").alias("place")))
+            sets = self._sets(ends.dropDuplicates(["c"]), quarter)
+            x, y = (sets.select(F.col("c").alias(k), F.col("h").alias(f"h{k}")) for k in "ab")
+            both = pairs.join(x, "a").join(y, "b")
+            common, na, nb = F.size(F.array_intersect("ha", "hb")), F.size("ha"), F.size("hb")
+            if quarter:  # the first entry is the size of the whole set, negated
+                na, nb = -F.get("ha", F.lit(0)), -F.get("hb", F.lit(0))
+                overlap = F.ceil(self.percent * (na + nb) / (100.0 + self.percent) - 1e-9)
+                common = F.size(F.array_intersect(F.slice("ha", 2, 1 << 30), F.slice("hb", 2, 1 << 30)))
+                near = (F.size("ha") - 1 - common <= na - overlap) & (F.size("hb") - 1 - common <= nb - overlap)
+            else:
+                near = 100 * common >= self.percent * (na + nb - common)
+            pairs = cut(both.where(near).select("a", "pa", "b", "pb"))
+        return pairs
+
+
+def _chunked(batches, split, *columns):
     for b in batches:
         data, offsets = utf8(b.column("t"))
-        ids = b.column("i")
         for i, j in chunks(offsets):
             part, o = data[offsets[i]:offsets[j]], offsets[i:j + 1] - offsets[i]
-            units, doc, line = split(part, o)
-            yield part, units, doc, line, ids.slice(i, j - i)
+            yield (part, *split(part, o), *(b.column(c).slice(i, j - i) for c in columns))
+
+
+def _classes(h: np.ndarray, unit: np.ndarray, n_units: int, seed: int):
+    """(sizes, first fingerprints, second ones) of units from their sets."""
+    size = np.bincount(unit, minlength=n_units)
+    full = np.flatnonzero(size)
+    f = np.zeros((2, n_units), np.uint64)
+    f[:, full] = fingerprints(h, (np.cumsum(size) - size)[full], seed)
+    return size, f[0], f[1]
 
 
-def _unit_rows(batches, split, n: int, seed: int):
-    for part, units, doc, line, ids in _chunked(batches, split):
-        h, unit = shingle_sets(*_words(part, units), len(doc), n)
-        size = np.bincount(unit, minlength=len(doc))
-        full = np.flatnonzero(size)
-        f = np.zeros((2, len(doc)), np.uint64)
-        f[:, full] = fingerprints(h, (np.cumsum(size) - size)[full], seed)
+def _unit_rows(batches, split, n: int, seed: int, level: np.ndarray, percent: int, adaptive: bool):
+    for part, units, doc, line, ids, key in _chunked(batches, split, "i", "k"):
+        h, unit = shingle_sets(*hashed_words(part, units), len(doc), n)
+        size, f, g = _classes(h, unit, len(doc), seed)
+        tokens, length, longer = _prefix(h, unit, len(doc), level, percent, adaptive)
+        upto = np.concatenate([[0], np.cumsum(length)]).astype(np.int32)
         yield pa.RecordBatch.from_arrays(
-            [ids.take(pa.array(doc)), pa.array(line), pa.array(size.astype(np.int32)), pa.array(signed(f[0]), mask=size == 0), pa.array(signed(f[1]))], ["i", "line", "n", "c", "f2"]
+            [ids.take(pa.array(doc)), key.take(pa.array(doc)), pa.array(line), pa.array(size.astype(np.int32)), pa.array(signed(f), mask=size == 0), pa.array(signed(g)),
+             pa.ListArray.from_arrays(pa.array(upto), pa.array(signed(tokens))), pa.array(longer)],
+            ["i", "k", "line", "n", "c", "f2", "t", "l"],
         )
 
 
-def _prefix_rows(batches, split, n: int, seed: int, level: np.ndarray, percent: int, adaptive: bool):
-    for part, units, doc, line, ids in _chunked(batches, split):
-        h, unit = shingle_sets(*_words(part, units), len(doc), n)
-        size = np.bincount(unit, minlength=len(doc))
-        full = np.flatnonzero(size)
-        c = np.zeros(len(doc), np.uint64)
-        c[full] = fingerprints(h, (np.cumsum(size) - size)[full], seed)[0]
-        tokens, length, longer = _prefix(h, unit, len(doc), level, percent, adaptive)
-        of = np.repeat(np.arange(len(doc)), length)
-        pos = np.arange(len(of)) - np.repeat(np.cumsum(length) - length, length)
-        for k in range(0, len(of), 100_000):
-            o = of[k:k + 100_000]
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(signed(tokens[k:k + 100_000])), pa.array(signed(c[o])), ids.take(pa.array(doc[o])), pa.array(line[o]), pa.array(size[o].astype(np.int32)),
-                 pa.array(pos[k:k + 100_000].astype(np.int32)), pa.array(longer[o])],
-                ["token", "c", "i", "line", "n", "pos", "l"],
-            )
+def _set_rows(batches, split, n: int, seed: int, quarter: bool):
+    for part, units, doc, line, wanted in _chunked(batches, split, "lines"):
+        asked = np.zeros(len(doc), bool)  # units are in order of documents and lines
+        first = runs(doc, len(wanted) + 1)
+        lines = wanted.flatten().to_numpy(zero_copy_only=False).astype(np.int64)
+        of = np.repeat(np.arange(len(wanted)), np.diff(wanted.offsets.to_numpy()))
+        inside = lines < (first[of + 1] - first[of])  # rows of equal id may have fewer lines
+        asked[(first[of] + lines)[inside]] = True
+        lens = np.diff(units)
+        part = part[ragged(units[:-1][asked], lens[asked])] if not asked.all() else part
+        units = np.concatenate([[0], np.cumsum(lens[asked])])
+        k = len(units) - 1
+        h, unit = shingle_sets(*hashed_words(part, units), k, n)
+        size, f, _ = _classes(h, unit, k, seed)
+        if quarter:
+            some = h & np.uint64(3) == 0
+            h, unit = h[some], unit[some]
+            got = np.bincount(unit, minlength=k)
+            upto = np.concatenate([[0], np.cumsum(got + 1)])
+            values = np.empty(int(upto[-1]), np.int64)
+            values[upto[:-1]] = -size
+            values[np.arange(len(h)) + unit + 1] = signed(h)
+        else:
+            upto, values = np.concatenate([[0], np.cumsum(size)]), signed(h)
+        yield pa.RecordBatch.from_arrays([pa.array(signed(f)), pa.ListArray.from_arrays(pa.array(upto.astype(np.int32)), pa.array(values))], ["c", "h"])
 
 
 def candidates(left: DataFrame, right: DataFrame, percent: int, apart: Column, ordered: bool = False) -> DataFrame:
-    """Pairs (a, b), a > b (`ordered`: a of left, b of right), of rows of the same token that satisfy `apart` (over x and y) and share l tokens of their l-prefixes.
+    """Pairs (a, pa, b, pb), a > b (`ordered`: a of left, b of right), of rows of the same token that satisfy `apart` (over x and y) and share l tokens of their l-prefixes.
 
     A pair's l is the smaller of the two; a token counts if it lies in both prefixes
     of that l, for the overlap that these two sizes need.  Sizes must allow the threshold, and a token's places must leave
@@ -349,6 +324,10 @@ def candidates(left: DataFrame, right: DataFrame, percent: int, apart: Column, o
     fits = (100 * F.least("x.n", "y.n") >= percent * F.greatest("x.n", "y.n"))
     can = room + F.least("x.pos", "y.pos") >= overlap
     pairs = x.join(y, (F.col("x.token") == F.col("y.token")) & apart & fits & can & inside("x") & inside("y"))
-    ends = (F.col("x.c"), F.col("y.c")) if ordered else (F.greatest("x.c", "y.c"), F.least("x.c", "y.c"))
-    counted = pairs.groupBy(ends[0].alias("a"), ends[1].alias("b")).agg(F.count("*").alias("k"), F.min(l).alias("l"))
-    return counted.where(F.col("k") >= F.col("l")).select("a", "b")
+    if not ordered:
+        swap = F.col("x.c") < F.col("y.c")
+        ends = [F.when(swap, F.col(f"y.{k}")).otherwise(F.col(f"x.{k}")) for k in ("c", "place")] + [F.when(swap, F.col(f"x.{k}")).otherwise(F.col(f"y.{k}")) for k in ("c", "place")]
+    else:
+        ends = [F.col(f"{t}.{k}") for t in "xy" for k in ("c", "place")]
+    counted = pairs.groupBy(*(e.alias(k) for e, k in zip(ends, ("a", "pa", "b", "pb")))).agg(F.count("*").alias("k"), F.min(l).alias("l"))
+    return counted.where(F.col("k") >= F.col("l")).select("a", "pa", "b", "pb")

@@ -6,6 +6,8 @@ memory of a Python worker is bounded by the chunk and not by the partition.
 
 from __future__ import annotations
 
+import ctypes
+import hashlib
 import os
 import zlib
 
@@ -23,10 +25,12 @@ LOWER = np.arange(256, dtype=np.uint8)
 LOWER[ord("A"):ord("Z") + 1] += 32
 
 _rng = np.random.default_rng(20240917)
-_BYTE_VALUE = _rng.integers(1, 2**63, 256, dtype=np.uint64) | np.uint64(1)
 _STEP = np.uint64(0x9E3779B97F4A7C15)
-_POWERS = np.ones(1, dtype=np.uint64)
 _LANES = _rng.integers(1, 2**63, 16, dtype=np.uint64) | np.uint64(1)
+#: The low k bytes of a lane.
+_LOW_BYTES = np.array([(1 << (8 * k)) - 1 for k in range(9)], np.uint64)
+#: Words longer than this are hashed one by one; there are at most bytes / LONG_WORD of them.
+LONG_WORD = 256
 
 
 def ship(spark) -> None:
@@ -37,6 +41,18 @@ def ship(spark) -> None:
         env["PYTHONPATH"] = ":".join(x for x in (root, env.get("PYTHONPATH", "")) if x)
 
 
+def tidy(batches):
+    """The batches; what the task has freed goes back to the system when they end, since workers live on for other tasks."""
+    try:
+        yield from batches
+    finally:
+        pa.default_memory_pool().release_unused()
+        try:
+            ctypes.CDLL(None).malloc_trim(0)
+        except (AttributeError, OSError):  # not glibc
+            pass
+
+
 def utf8(column) -> tuple[np.ndarray, np.ndarray]:
     """(bytes, offsets) of a string column; nulls count as empty."""
     if isinstance(column, pa.ChunkedArray):
@@ -95,33 +111,68 @@ def mix(h: np.ndarray) -> np.ndarray:
     return h ^ (h >> np.uint64(31))
 
 
-def _powers(n: int) -> np.ndarray:
-    global _POWERS
-    if len(_POWERS) < n:
-        p = np.full(max(n, 4096), _STEP, dtype=np.uint64)
-        p[0] = 1
-        _POWERS = np.cumprod(p)
-    return _POWERS
-
-
-def hash_spans(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, block: int = 1 << 20) -> np.ndarray:
-    """64-bit hashes of data[start:end] for ascending, disjoint, non-empty spans."""
-    out = np.empty(len(starts), np.uint64)
+def hash_spans(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """64-bit hashes of data[start:end] for non-empty spans: lanes of eight bytes, each mixed into what came before."""
+    if not len(starts):
+        return np.zeros(0, np.uint64)
+    padded = np.zeros(len(data) + 8, np.uint8)
+    padded[:len(data)] = data
+    lanes = np.ndarray((len(data) + 1,), np.uint64, padded, 0, (1,))  # the eight bytes from each place on
     lens = ends - starts
-    upto = np.cumsum(lens)
-    i = 0
-    while i < len(starts):
-        base = upto[i - 1] if i else 0
-        j = max(i + 1, int(np.searchsorted(upto, base + block, side="right")))
-        ln = lens[i:j]
-        at = upto[i:j] - ln - base
-        total = int(ln.sum())
-        within = np.arange(total) - np.repeat(at, ln)
-        value = _BYTE_VALUE[data[within + np.repeat(starts[i:j], ln)]]
-        value *= _powers(int(ln.max()))[within]
-        out[i:j] = np.add.reduceat(value, at)
+    out = mix((lens.astype(np.uint64) * _STEP) ^ (lanes[starts] & _LOW_BYTES[np.minimum(lens, 8)]))
+    left, k = np.flatnonzero((lens > 8) & (lens <= LONG_WORD)), 8
+    while len(left):
+        out[left] = mix((out[left] + _STEP) ^ (lanes[starts[left] + k] & _LOW_BYTES[np.minimum(lens[left] - k, 8)]))
+        k += 8
+        left = left[lens[left] > k]
+    for w in np.flatnonzero(lens > LONG_WORD).tolist():
+        out[w] = int.from_bytes(hashlib.blake2b(data[starts[w]:ends[w]].tobytes(), digest_size=8).digest(), "little")
+    return out
+
+
+#: Bytes whose words are sought at once, so that the arrays of one value a byte stay short in a long text.
+WORD_BLOCK = 1 << 22
+
+
+def hashed_words(data: np.ndarray, offsets: np.ndarray, table: np.ndarray = WORD_BYTE):
+    """(hash, unit) of every word, lower-cased A to Z, of concatenated units."""
+    if len(data) <= WORD_BLOCK:
+        return _block_words(data, offsets, table)
+    hashes, units, i = [], [], 0
+    while i < len(data):
+        j = min(i + WORD_BLOCK, len(data))
+        while j < len(data) and table[data[j]]:  # a block ends where a word does
+            gap = np.flatnonzero(~table[data[j:j + WORD_BLOCK]])
+            j = j + int(gap[0]) if len(gap) else min(j + WORD_BLOCK, len(data))
+        first = int(np.searchsorted(offsets, i, side="right")) - 1
+        last = int(np.searchsorted(offsets, j, side="left"))
+        h, unit = _block_words(data[i:j], np.clip(offsets[first:last + 1], i, j) - i, table)
+        hashes.append(h)
+        units.append(unit + first)
         i = j
-    return mix(out + lens.astype(np.uint64) * _LANES[15])
+    return np.concatenate(hashes), np.concatenate(units)
+
+
+def _block_words(data, offsets, table):
+    low = LOWER[data]
+    s, e, unit = word_bounds(low, offsets, table)
+    return hash_spans(low, s, e), unit
+
+
+def order_in_units(unit: np.ndarray, key: np.ndarray, n_units: int, level: np.ndarray | None = None, level_bits: int = 0) -> np.ndarray:
+    """Positions sorted by unit, then level, then key: one sort of a packed number; the rare ties of shortened keys are sorted out in full."""
+    bits = max(1, int(n_units - 1).bit_length()) if n_units > 1 else 0
+    packed = key >> np.uint64(bits + level_bits) if bits + level_bits else key.copy()
+    if level is not None:
+        packed |= level.astype(np.uint64) << np.uint64(64 - bits - level_bits)
+    if bits:
+        packed |= unit.astype(np.uint64) << np.uint64(64 - bits)
+    order = np.argsort(packed)
+    if bits + level_bits and len(order) > 1:
+        p, k = packed[order], key[order]
+        if ((p[1:] == p[:-1]) & (k[1:] != k[:-1])).any():
+            return np.lexsort((key, level, unit) if level is not None else (key, unit))
+    return order
 
 
 def runs(doc: np.ndarray, n_docs: int) -> np.ndarray:
@@ -159,7 +210,7 @@ def shingle_sets(h: np.ndarray, doc: np.ndarray, n_docs: int, n: int):
             acc[has] += h[first[has] + k] * _LANES[k]
         g = np.concatenate([g, mix(acc + count[short].astype(np.uint64) * _LANES[14])])
         gd = np.concatenate([gd, short])
-    order = np.lexsort((g, gd))
+    order = order_in_units(gd, g, n_docs)
     g, gd = g[order], gd[order]
     keep = np.ones(len(g), bool)
     keep[1:] = (g[1:] != g[:-1]) | (gd[1:] != gd[:-1])

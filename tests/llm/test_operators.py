@@ -79,10 +79,69 @@ def test_words_and_hashes(corpus):
     assert got == [(k, w) for k, t in enumerate(list(corpus.values())[3:]) for w in WORD.findall(t or "")]
     s, e, _ = word_bounds(data, offsets)
     said = [data[a:b].tobytes() for a, b in zip(s, e)]
-    h = hash_spans(data, s, e, block=97)
+    h = hash_spans(data, s, e)
     assert len(set(zip(said, h.tolist()))) == len(set(said)) == len(set(h.tolist()))
 
 
+def thue_morse(n):
+    """Two words of n letters, each the other's letters swapped: sums of powers modulo 2^64 cannot tell them apart."""
+    bits = [bin(k).count("1") % 2 for k in range(n)]
+    return "".join("ab"[b] for b in bits), "".join("ba"[b] for b in bits)
+
+
+@pytest.mark.parametrize("n", [64, 256, 1024, 2048])
+def test_hashes_tell_thue_morse_words_apart(n):
+    from provena.llm.textarrays import hashed_words
+
+    data = np.frombuffer(" ".join(thue_morse(n)).encode(), np.uint8)
+    h, _ = hashed_words(data, np.array([0, len(data)]))
+    assert len(set(h.tolist())) == 2
+
+
+@pytest.mark.parametrize("n", [1024, 2048])
+def test_operators_tell_thue_morse_words_apart(spark, n):
+    import public_tokenizers
+    import tiktoken.load
+
+    x, y = thue_morse(n)
+    df = frame(spark, [x, y])
+    assert {r["doc_id"]: r["component_id"] for r in ngram_join.ngram_join(df).collect()} == {0: 0, 1: 1}
+    assert {r["doc_id"]: r["text"] for r in line_dedup.line_dedup(df).collect()} == {0: x, 1: y}
+    got = {r["doc_id"]: r["n_known"] for r in bloom_lm.score(df, bloom_lm.fit(df.where("doc_id = 0"))).collect()}
+    assert got == {0: 2, 1: 1}
+    path = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
+    enc = bpe.Encoder(path)
+    want = tiktoken.Encoding("x", pat_str=public_tokenizers.PATTERN, mergeable_ranks=tiktoken.load.load_tiktoken_bpe(path), special_tokens={})
+    for t in (x, y):
+        assert enc.encode(t) == want.encode_ordinary(t)
+        assert enc.decode(enc.encode(t)).decode() == t
+
+
+def test_long_texts_in_blocks(monkeypatch):
+    from provena.llm import textarrays
+
+    rng = random.Random(3)
+    units = ["".join(rng.choice("ab  C\n") for _ in range(rng.randint(0, 90))) for _ in range(60)] + ["x" * 300, ""]
+    data = np.frombuffer("".join(units).encode(), np.uint8)
+    offsets = np.concatenate([[0], np.cumsum([len(u) for u in units])])
+    h, unit = textarrays.hashed_words(data, offsets)
+    monkeypatch.setattr(textarrays, "WORD_BLOCK", 37)
+    # A block's end is not a unit's end: words of two units that touch stay apart.
+    h2, unit2 = textarrays.hashed_words(data, offsets)
+    assert (h == h2).all() and (unit == unit2).all()
+
+
+def test_order_in_units_resolves_ties():
+    from provena.llm.textarrays import order_in_units
+
+    rng = np.random.default_rng(2)
+    unit, level = np.sort(rng.integers(0, 300, 5000)), rng.integers(0, 5, 5000).astype(np.uint8)
+    for key in (rng.integers(0, 2**63, 5000, dtype=np.uint64), rng.integers(0, 40, 5000, dtype=np.uint64)):
+        for args, columns in ((dict(level=level, level_bits=8), (unit, level, key)), ({}, (unit, key))):
+            order = order_in_units(unit, key, 300, **args)
+            assert [tuple(c[i] for c in columns) for i in order] == sorted(zip(*columns))
+
+
 def test_hash_index():
     keys = np.random.default_rng(1).integers(0, 2**63, 1000, dtype=np.uint64)
     index = HashIndex(keys, np.arange(1000))

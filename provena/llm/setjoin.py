@@ -39,6 +39,10 @@ from provena.llm.textarrays import (
 SKETCH_BITS = 22
 PARTS = 64
 LONGEST = 8
+#: Tokens of a chunk of units that asks the shards together, entries of a shard, and shards at least.
+CHUNK_TOKENS = 1 << 18
+SHARD_ENTRIES = 4 << 20
+LEAST_SHARDS = 32
 #: Cost of verifying a candidate, in tokens read from lists.
 VERIFY = 16.0
 
@@ -191,17 +195,24 @@ class Join:
     def lists(self) -> DataFrame:
         """Prefix tokens that two classes share: a row (token, c, place, n, pos, l) per class, with the place of the list's first class.
 
-        What is shared is found first, from tokens, class numbers and places alone, so
-        that the much larger rest of the prefixes is not sorted or kept.
+        Most prefix tokens stand in one class only.  They are found without making a row
+        of each: chunks of units send packed keys to shards by token, and get back a bit
+        for each.  A chunk sends a token with its least and greatest class only, hence a
+        frequent token loads no shard.  What is left is grouped exactly.
         """
-        worded = self.rows.where("n > 0")
-        every = worded.select(F.explode("t").alias("token"), "c", "place")
-        shared = cut(
-            every.groupBy("token").agg(F.min("c").alias("a"), F.max("c").alias("b"), F.min("place").alias("first")).where("a != b").select("token", "first")
+        worded = self.rows.where("n > 0").select("i", "line", "n", "c", "l", "t")
+        total = worded.agg(F.coalesce(F.sum(F.size("t")), F.lit(0))).first()[0]
+        shards, kind = max(LEAST_SHARDS, total // SHARD_ENTRIES), self.kind
+        asked = worded.select("c", "t").mapInArrow(lambda it: tidy(_ask_rows(it, shards)), "shard int, chunk long, a binary, b binary")
+        answers = asked.groupBy("shard").applyInArrow(_answer, "shard int, chunk long, a binary")
+        own = worded.mapInArrow(lambda it: tidy(_own_rows(it)), f"chunk long, i {kind}, line int, n int, c long, l int, t array<long>")
+        kept = answers.groupBy("chunk").cogroup(own.groupBy("chunk")).applyInArrow(
+            lambda x, y: _shared_rows(x, y, shards), f"token long, c long, i {kind}, line int, n int, pos int, l int"
         )
-        rows = worded.select(F.posexplode("t").alias("pos", "token"), "c", "place", "n", "l").join(small(shared), "token")
-        one = [F.min(x).alias(x) for x in ("place", "n", "pos", "l", "first")]  # of a class all but the places are equal
-        return cut(rows.groupBy("token", "c").agg(*one))
+        one = [F.min(x).alias(x) for x in ("place", "n", "pos", "l")]  # of a class all but the places are equal
+        lists = cut(kept.withColumn("place", self.place).groupBy("token", "c").agg(*one))
+        first = cut(lists.groupBy("token").agg(F.min("place").alias("first"), F.count("*").alias("m")).where("m > 1").drop("m"))
+        return cut(lists.join(small(first), "token"))
 
     def stars(self, lists: DataFrame) -> DataFrame:
         """(a, pa, b, pb): for each class the class b that comes first in most of its lists, if that isn't itself and their sizes allow a link."""
@@ -219,8 +230,8 @@ class Join:
         asked = cut(self._located(at).groupBy("i").agg(F.collect_list("line").alias("lines")))
         many = asked.agg(F.coalesce(F.sum(F.size("lines")), F.lit(0))).first()[0]
         found = self.texts.join(small(asked.withColumnRenamed("i", "__i"), extra=8 * many), F.col("i").eqNullSafe(F.col("__i"))).select("t", "lines")
-        sets = found.mapInArrow(lambda it: tidy(_set_rows(it, split, n, seed, quarter)), "c long, h array<long>")
-        return cut(sets.dropDuplicates(["c"]))  # rows of equal id may hold a class twice
+        sets = cut(found.mapInArrow(lambda it: tidy(_set_rows(it, split, n, seed, quarter)), f"c long, h array<{'int' if quarter else 'long'}>"))
+        return sets if sets.count() <= many else cut(sets.dropDuplicates(["c"]))  # rows of equal id hold a class twice, or others
 
     def linked(self, pairs: DataFrame) -> DataFrame:
         """The pairs (a, pa, b, pb) of classes whose sets reach the threshold.
@@ -277,6 +288,91 @@ def _unit_rows(batches, split, n: int, seed: int, level: np.ndarray, percent: in
         )
 
 
+def _numbered(batches):
+    """(chunk number, batch of at most CHUNK_TOKENS tokens or one row): the same numbers each time the same rows are read."""
+    from pyspark import TaskContext
+
+    number = TaskContext.get().partitionId() << 36
+    for b in batches:
+        upto = np.cumsum(np.diff(b.column("t").offsets.to_numpy()))
+        i = 0
+        while i < len(upto):
+            j = max(i + 1, int(np.searchsorted(upto, (upto[i - 1] if i else 0) + CHUNK_TOKENS, side="right")))
+            yield number, b.slice(i, j - i)
+            number += 1
+            i = j
+
+
+def _flat(column) -> tuple[np.ndarray, np.ndarray]:
+    """(tokens, lengths) of a list column."""
+    return column.flatten().to_numpy().view(np.uint64), np.diff(column.offsets.to_numpy())
+
+
+def _entries(tokens: np.ndarray, c: np.ndarray, shards: int):
+    """(token, class) entries of a chunk in order of shards, and the ends of each shard's: of a token its least and, if another, its greatest class."""
+    order = np.argsort(tokens)
+    t, k = tokens[order], c[order]
+    start = np.flatnonzero(np.concatenate([[True], t[1:] != t[:-1]]))
+    low, high = np.minimum.reduceat(k, start), np.maximum.reduceat(k, start)
+    two = low != high
+    t, k = np.concatenate([t[start], t[start][two]]), np.concatenate([low, high[two]])
+    shard = (mix(t ^ np.uint64(0x3C6EF372FE94F82B)) % np.uint64(shards)).astype(np.uint32)
+    order = np.argsort(shard, kind="stable")
+    return t[order], k[order], np.searchsorted(shard[order], np.arange(shards + 1))
+
+
+def _ask_rows(batches, shards: int):
+    for chunk, b in _numbered(batches):
+        tokens, lens = _flat(b.column("t"))
+        t, k, at = _entries(tokens, np.repeat(b.column("c").to_numpy(), lens), shards)
+        low = t.astype(np.uint32)  # inside a shard 32 bits tell most tokens apart; what they don't is grouped exactly later
+        full = np.flatnonzero(np.diff(at)).tolist()
+        yield pa.RecordBatch.from_arrays(
+            [pa.array(full, pa.int32()), pa.array([chunk] * len(full), pa.int64()), pa.array([low[at[s]:at[s + 1]].tobytes() for s in full], pa.binary()),
+             pa.array([k[at[s]:at[s + 1]].tobytes() for s in full], pa.binary())], ["shard", "chunk", "a", "b"]
+        )
+
+
+def _answer(asked: pa.Table) -> pa.Table:
+    """For each chunk's entries a bit: whether two classes have the token."""
+    a, b = asked.column("a").to_pylist(), asked.column("b").to_pylist()
+    t, k = np.frombuffer(b"".join(a), np.uint32), np.frombuffer(b"".join(b), np.int64)
+    order = np.argsort(t, kind="stable")
+    s, k = t[order], k[order]
+    start = np.flatnonzero(np.concatenate([[True], s[1:] != s[:-1]]))
+    shared = np.empty(len(t), bool)
+    shared[order] = np.repeat(np.minimum.reduceat(k, start) != np.maximum.reduceat(k, start), np.diff(start, append=len(t)))
+    ends = np.cumsum([len(x) // 4 for x in a])
+    return pa.table({
+        "shard": asked.column("shard"), "chunk": asked.column("chunk"),
+        "a": pa.array([np.packbits(x).tobytes() for x in np.split(shared, ends[:-1])], pa.binary()),
+    })
+
+
+def _own_rows(batches):
+    for chunk, b in _numbered(batches):
+        yield pa.RecordBatch.from_arrays([pa.array(np.full(len(b), chunk, np.int64)), *(b.column(c) for c in ("i", "line", "n", "c", "l", "t"))], ["chunk", "i", "line", "n", "c", "l", "t"])
+
+
+def _shared_rows(answers: pa.Table, own: pa.Table, shards: int) -> pa.Table:
+    """A row for each posting of a chunk whose token is shared."""
+    own = own.combine_chunks()
+    tokens, lens = _flat(own.column("t").chunk(0))
+    c = np.repeat(own.column("c").to_numpy(), lens)
+    t, _, at = _entries(tokens, c, shards)
+    good = np.zeros(len(t), bool)
+    for s, bits in zip(answers.column("shard").to_pylist(), answers.column("a").to_pylist()):
+        good[at[s]:at[s + 1]] = np.unpackbits(np.frombuffer(bits, np.uint8), count=int(at[s + 1] - at[s])).astype(bool)
+    known = np.sort(t[good])
+    hit = np.flatnonzero(known[np.minimum(np.searchsorted(known, tokens), len(known) - 1)] == tokens) if len(known) else np.zeros(0, np.int64)
+    row = np.repeat(np.arange(len(lens)), lens)
+    pos = (np.arange(len(row)) - np.repeat(np.cumsum(lens) - lens, lens))[hit]
+    of = pa.array(row[hit])
+    return pa.table({
+        "token": signed(tokens[hit]), "c": c[hit], **{k: own.column(k).take(of) for k in ("i", "line", "n")}, "pos": pos.astype(np.int32), "l": own.column("l").take(of),
+    })
+
+
 def _set_rows(batches, split, n: int, seed: int, quarter: bool):
     for part, units, doc, line, wanted in _chunked(batches, split, "lines"):
         asked = np.zeros(len(doc), bool)  # units are in order of documents and lines
@@ -293,12 +389,14 @@ def _set_rows(batches, split, n: int, seed: int, quarter: bool):
         size, f, _ = _classes(h, unit, k, seed)
         if quarter:
             some = h & np.uint64(3) == 0
-            h, unit = h[some], unit[some]
-            got = np.bincount(unit, minlength=k)
-            upto = np.concatenate([[0], np.cumsum(got + 1)])
-            values = np.empty(int(upto[-1]), np.int64)
+            low, unit = (h[some] >> np.uint64(32)).astype(np.uint32), unit[some]
+            fresh = np.ones(len(low), bool)  # in order of units and hashes: tokens of equal upper halves count once
+            fresh[1:] = (low[1:] != low[:-1]) | (unit[1:] != unit[:-1])
+            low, unit = low[fresh], unit[fresh]
+            upto = np.concatenate([[0], np.cumsum(np.bincount(unit, minlength=k) + 1)])
+            values = np.empty(int(upto[-1]), np.int32)
             values[upto[:-1]] = -size
-            values[np.arange(len(h)) + unit + 1] = signed(h)
+            values[np.arange(len(low)) + unit + 1] = low.view(np.int32)
         else:
             upto, values = np.concatenate([[0], np.cumsum(size)]), signed(h)
         yield pa.RecordBatch.from_arrays([pa.array(signed(f)), pa.ListArray.from_arrays(pa.array(upto.astype(np.int32)), pa.array(values))], ["c", "h"])

@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from provena.llm.tables import cut
-from provena.llm.textarrays import LOWER, HashIndex, chunks, hash_spans, mix, runs, ship, utf8, word_bounds
+from provena.llm.textarrays import LOWER, HashIndex, chunks, hash_spans, mix, runs, ship, tidy, utf8, word_bounds
 
 #: The hash that stands for the end token; no word has it, words are hashed from bytes.
 END = np.uint64(0x5EED0FE2D0FA7E37)
@@ -162,7 +162,7 @@ class Bloom:
         h = mix(keys.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) + np.uint64(0x1234567))
         seg = (h >> np.uint64(58)).astype(np.int64)
         g = mix(h + np.asarray(level).astype(np.uint64) * np.uint64(0xD1B54A32D192ED03))
-        return seg, [mix(g + np.uint64(k) * np.uint64(0x8CB92BA72F3D8DD7)) for k in range(probes)]
+        return seg, [mix(g + np.uint64(k * 0x8CB92BA72F3D8DD7 & 0xFFFFFFFFFFFFFFFF)) for k in range(probes)]
 
     def levels(self, keys: np.ndarray) -> np.ndarray:
         """The highest level that is there with all below it."""
@@ -231,12 +231,10 @@ def _shard(base: float, bits_per_entry: float, probes: int):
 def fit(df: DataFrame, text_col: str = "text", frequent: int = 1 << 18, context: int | None = None, base: float = 1.5,
         bits_per_entry: float = 10.0, probes: int = 5) -> dict:
     """Counts and filter over all rows of df: {"words": Words, "parts": DataFrame of packed rare counts and filters by shard, "shards", "probes", "base"}.
-
-    `context` once bounded the words that bigrams name; all words count now, whatever it says.
     """
     ship(df.sparkSession)
     texts = df.select(F.col(text_col).alias("t"))
-    counts = cut(texts.mapInArrow(lambda it: _counted(it, lambda d, o: tokens(d, o)[0], "w"), "w long, n long").groupBy("w").agg(F.sum("n").alias("n")))
+    counts = cut(texts.mapInArrow(lambda it: tidy(_counted(it, lambda d, o: tokens(d, o)[0], "w")), "w long, n long").groupBy("w").agg(F.sum("n").alias("n")))
     total = counts.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n"), F.count("*").alias("v")).first()
     least = _least_count(counts, frequent)
     top = counts.where(F.col("n") >= least).toPandas()
@@ -244,7 +242,7 @@ def fit(df: DataFrame, text_col: str = "text", frequent: int = 1 << 18, context:
     shards = max(SHARDS, total["n"] // SHARD_TOKENS)
     packed = "shard int, kind int, a binary, b binary"
     rare = counts.where(F.col("n") < least).mapInArrow(lambda it: _dealt(it, "w", WORDS, shards), packed)
-    pairs = texts.mapInArrow(lambda it: _dealt(_counted(it, _pairs_of, "k"), "k", PAIRS, shards), packed)
+    pairs = texts.mapInArrow(lambda it: tidy(_dealt(_counted(it, _pairs_of, "k"), "k", PAIRS, shards)), packed)
     filters = cut(pairs.groupBy("shard").applyInArrow(_shard(base, bits_per_entry, probes), packed))
     return {"words": words, "parts": rare.unionByName(filters), "shards": shards, "probes": probes, "base": base}
 
@@ -358,7 +356,7 @@ def score(df: DataFrame, model: dict, id_col: str = "doc_id", text_col: str = "t
     shared = df.sparkSession.sparkContext.broadcast(model["words"])
     kind = dict(df.dtypes)[id_col]
     packed = f"shard int, chunk long, kind int, a binary, b binary, c binary, d binary, ids array<{kind}>"
-    asked = df.select(F.col(id_col).alias("i"), F.col(text_col).alias("t")).mapInArrow(lambda it: _questions(it, shared.value, shards), packed)
+    asked = df.select(F.col(id_col).alias("i"), F.col(text_col).alias("t")).mapInArrow(lambda it: tidy(_questions(it, shared.value, shards)), packed)
     answered = model["parts"].groupBy("shard").cogroup(asked.groupBy("shard")).applyInArrow(_answers(model["probes"], base), packed)
     return answered.groupBy("chunk").applyInArrow(
         lambda table: _scores(shared.value, shards, base, share, id_col)(table),

@@ -23,7 +23,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from provena.llm.textarrays import chunks, hash_spans, ragged, ship, utf8
+from provena.llm.textarrays import chunks, hash_spans, ragged, ship, tidy, utf8
 
 # Classes of code points.
 L, N, O, A2, A3, SPL, WSL, WSM = range(8)
@@ -373,7 +373,7 @@ def encode(df: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "te
     schema = f"`{id_col}` {kind}, n_tokens long, ids_sha256 string, decoded_sha256 string"
     if not digests_only:
         schema += ", ids array<int>, ends array<int>"
-    return df.select(id_col, text_col).mapInArrow(run, schema)
+    return df.select(id_col, text_col).mapInArrow(lambda it: tidy(run(it)), schema)
 
 
 def decode(df: DataFrame, path: str, id_col: str = "doc_id", ids_col: str = "ids") -> DataFrame:
@@ -386,4 +386,4 @@ def decode(df: DataFrame, path: str, id_col: str = "doc_id", ids_col: str = "ids
             texts = [enc.decode(x or []).decode("utf-8", "replace") for x in batch.column(ids_col).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(id_col), pa.array(texts, pa.string())], [id_col, "text"])
 
-    return df.select(id_col, ids_col).mapInArrow(run, f"`{id_col}` {dict(df.dtypes)[id_col]}, text string")
+    return df.select(id_col, ids_col).mapInArrow(lambda it: tidy(run(it)), f"`{id_col}` {dict(df.dtypes)[id_col]}, text string")

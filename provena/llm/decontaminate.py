@@ -4,7 +4,7 @@ Every word n-gram of a test item is a seed of it, common or rare: an edited copy
 keeps any of them.  A document that holds a seed is aligned with the item around
 it, word by word; the local alignment score, as a share of the item's own, tells
 edited copies from chance.  A copy that keeps no n words of an item in a row has
-no seed and is not found.
+no seed and is not found.  An empty table of documents or of items gives no matches.
 
 Words are runs of letters and digits, lower-cased.  Items travel in blocks of a
 fixed number of n-grams, so that what a worker holds does not grow with the
@@ -18,8 +18,10 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
-from provena.llm.textarrays import LOWER, HashIndex, chunks, hash_spans, ngram_hashes, ship, utf8, word_bounds
+from provena.llm.tables import cut, small, unused
+from provena.llm.textarrays import LOWER, HashIndex, chunks, hash_spans, ngram_hashes, ship, tidy, utf8, word_bounds
 
 ALNUM = np.zeros(256, bool)
 ALNUM[[*range(48, 58), *range(65, 91), *range(97, 123), *range(0x80, 0x100)]] = True
@@ -97,7 +99,7 @@ def _match_rows(batches, items: Items, least: float, id_type):
             if found:
                 d, k, score, at = zip(*found)
                 yield pa.RecordBatch.from_arrays(
-                    [b.column("i").slice(i, j - i).take(pa.array(d, pa.int64())), pa.array([items.ids[x] for x in k]).cast(id_type), pa.array(score, pa.float64()), pa.array(at, pa.int64())],
+                    [b.column("i").slice(i, j - i).take(pa.array(d, pa.int64())), pa.array([items.ids[x] for x in k], id_type), pa.array(score, pa.float64()), pa.array(at, pa.int64())],
                     ["i", "item", "score", "at_word"],
                 )
 
@@ -144,21 +146,24 @@ def _matches(items: Items, h: np.ndarray, doc: np.ndarray, n_docs: int, least: f
 
 def matches(df: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text: str = "text",
             n: int = 3, least: float = 0.5) -> DataFrame:
-    """(id, item, score, at_word) of every document and item whose alignment score is at least `least` of the item's own."""
+    """(id, item, score, at_word) of every document and item whose alignment score is at least `least` of the item's own.
+
+    Where documents and items have ids of one name, the item's is called item_<name>.
+    """
     spark = df.sparkSession
     ship(spark)
     kind, item_kind = dict(df.dtypes)[id_col], dict(benchmark.dtypes)[item_col]
-    texts = df.select(F.col(id_col).alias("i"), F.col(text_col).alias("t"))
+    texts = df.select(F.col(f"`{id_col}`").alias("i"), F.col(f"`{text_col}`").alias("t"))
     out = None
     schema = f"i {kind}, item {item_kind}, score double, at_word long"
+    id_type = to_arrow_type(benchmark.schema[item_col].dataType)
     for items in _blocks(benchmark.select(F.col(item_col).alias("i"), F.col(item_text).alias("t")), n):
         shared = spark.sparkContext.broadcast(items)
-        id_type = pa.int64() if item_kind == "bigint" else pa.int32() if item_kind == "int" else pa.string()
-        found = texts.mapInArrow(lambda it, s=shared, t=id_type: _match_rows(it, s.value, least, t), schema)
+        found = texts.mapInArrow(lambda it, s=shared: tidy(_match_rows(it, s.value, least, id_type)), schema)
         out = found if out is None else out.unionByName(found)
     if out is None:
         out = spark.createDataFrame([], schema)
-    return out.select(F.col("i").alias(id_col), F.col("item").alias(item_col), "score", "at_word")
+    return out.select(F.col("i").alias(id_col), F.col("item").alias(item_col if item_col != id_col else f"item_{item_col}"), "score", "at_word")
 
 
 def _blocks(items: DataFrame, n: int):
@@ -178,9 +183,8 @@ def _blocks(items: DataFrame, n: int):
 
 
 def decontaminate(df: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
-    """df without the documents that hold a passage of the benchmark."""
-    from provena.llm.tables import cut, small
-
-    bad = cut(matches(df, benchmark, id_col, text_col, **options).select(F.col(id_col).alias("__bad")).distinct())
-    bad = small(bad, 64)
-    return df.join(bad, F.col(id_col).eqNullSafe(F.col("__bad")), "left_anti")
+    """df without the documents that hold a passage of the benchmark; rows of one id are told apart by their texts."""
+    bad = unused(df, "__bad")
+    row = F.xxhash64(F.col(f"`{id_col}`"), F.col(f"`{text_col}`"))
+    held = matches(df.select(row.alias(bad), F.col(f"`{text_col}`").alias("text")), benchmark, bad, "text", **options)
+    return df.join(small(cut(held.select(bad).distinct())), row == F.col(bad), "left_anti")

@@ -17,9 +17,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from provena.llm.labelled import sample
-from provena.llm.textarrays import chunks, hash_spans, ship, utf8, word_bounds
+from provena.llm.textarrays import chunks, hash_spans, ship, tidy, utf8, word_blocks, word_bounds
 
 PASSAGE = 512
+#: Bytes whose classes are counted at once.
+BLOCK = 1 << 20
 SINGLE = b"#*$%&|<>!?.,;:-_()[]{}\"'/\\=+@~^`"
 
 
@@ -40,30 +42,42 @@ WIDTH = CLASSES + 4
 
 
 def encode(data: np.ndarray, offsets: np.ndarray):
-    """(features of passages, passages of each document)."""
+    """(features of passages, passages of each document).  Bytes are read in blocks, so that a long text needs no array of a number a byte."""
     lens = np.diff(offsets)
     count = np.maximum(1, -(-lens // PASSAGE))
     base = np.cumsum(count) - count
-    doc = np.repeat(np.arange(len(lens)), lens)
-    passage = base[doc] + (np.arange(len(data)) - offsets[doc]) // PASSAGE
     n = int(count.sum())
     x = np.zeros((n, WIDTH), np.float32)
-    size = np.maximum(1, np.bincount(passage, minlength=n))
-    x[:, :CLASSES] = np.bincount(passage * CLASSES + CLASS[data], minlength=n * CLASSES).reshape(n, CLASSES) / size[:, None]
-    s, e, wd = word_bounds(data, offsets)
-    if len(s):
-        at = passage[s]
-        words = np.maximum(1, np.bincount(at, minlength=n))
-        h = hash_spans(data, s, e)
-        same = np.zeros(len(h), bool)
-        same[1:] = (h[1:] == h[:-1]) & (wd[1:] == wd[:-1])
-        upper = (data[s] >= 65) & (data[s] <= 90) & (data[np.maximum(e - 1, s)] != 0) & (e - s > 2)
-        second = data[np.minimum(s + 1, len(data) - 1)]
-        upper &= (second >= 65) & (second <= 90)
-        x[:, CLASSES] = np.bincount(at, weights=same, minlength=n) / words
-        x[:, CLASSES + 1] = np.bincount(at, weights=upper, minlength=n) / words
-        x[:, CLASSES + 2] = np.bincount(at, weights=e - s, minlength=n) / words / 10
-        x[:, CLASSES + 3] = np.log1p(np.bincount(at, minlength=n)) / 5
+    size = np.full(n, PASSAGE)
+    size[np.cumsum(count) - 1] = np.maximum(1, lens - (count - 1) * PASSAGE)
+
+    def passage(at, doc):
+        return base[doc] + (at - offsets[doc]) // PASSAGE
+
+    for i in range(0, len(data), BLOCK):
+        at = np.arange(i, min(i + BLOCK, len(data)))
+        p = passage(at, np.searchsorted(offsets, at, side="right") - 1)
+        got = np.bincount((p - p[0]) * CLASSES + CLASS[data[i:i + BLOCK]])
+        rows = -(-len(got) // CLASSES)
+        got.resize(rows * CLASSES)
+        x[p[0]:p[0] + rows, :CLASSES] += got.reshape(rows, CLASSES)
+    x[:, :CLASSES] /= size[:, None]
+    words, sums, last = np.zeros(n), np.zeros((3, n)), (np.uint64(0), -1)
+    for i, block, own, first in word_blocks(data, offsets):
+        s, e, wd = word_bounds(block, own)
+        if not len(s):
+            continue
+        h, wd = hash_spans(block, s, e), wd + first
+        at = passage(s + i, wd)
+        same = (h == np.concatenate([[last[0]], h[:-1]])) & (wd == np.concatenate([[last[1]], wd[:-1]]))
+        last = h[-1], wd[-1]
+        second = block[np.minimum(s + 1, len(block) - 1)]
+        upper = (block[s] >= 65) & (block[s] <= 90) & (e - s > 2) & (second >= 65) & (second <= 90)
+        words += np.bincount(at, minlength=n)
+        for k, weight in enumerate((same, upper, e - s)):
+            sums[k] += np.bincount(at, weights=weight, minlength=n)
+    x[:, CLASSES:CLASSES + 3] = (sums / np.maximum(1, words) * np.array([[1], [1], [0.1]])).T
+    x[:, CLASSES + 3] = np.log1p(words) / 5
     return x, count
 
 
@@ -162,7 +176,7 @@ def score(df: DataFrame, model: dict, id_col: str = "doc_id", text_col: str = "t
                 [b.column(id_col), pa.array(s), pa.array((s >= 0.5).astype(np.int32)), pa.array(np.concatenate(counts))], [id_col, "score", "predicted", "n_passages"]
             )
 
-    return df.select(id_col, text_col).mapInArrow(run, f"`{id_col}` {dict(df.dtypes)[id_col]}, score double, predicted int, n_passages long")
+    return df.select(id_col, text_col).mapInArrow(lambda it: tidy(run(it)), f"`{id_col}` {dict(df.dtypes)[id_col]}, score double, predicted int, n_passages long")
 
 
 def keep(df: DataFrame, model: dict, text_col: str = "text", least: float = 0.5) -> DataFrame:
@@ -179,4 +193,4 @@ def keep(df: DataFrame, model: dict, text_col: str = "text", least: float = 0.5)
                 good.append(s >= least)
             yield b.filter(pa.array(np.concatenate(good)))
 
-    return df.mapInArrow(run, df.schema)
+    return df.mapInArrow(lambda it: tidy(run(it)), df.schema)

@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from provena.llm.labelled import lowest
-from provena.llm.textarrays import ship
+from provena.llm.textarrays import ship, tidy
 
 KINDS = ("email", "ip", "card", "phone")
 
@@ -440,4 +440,4 @@ def find(df: DataFrame, model: dict, id_col: str = "doc_id", text_col: str = "te
             )
 
     schema = f"`{id_col}` {dict(df.dtypes)[id_col]}, n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, spans string, n_added long"
-    return df.select(id_col, text_col).mapInArrow(run, schema)
+    return df.select(id_col, text_col).mapInArrow(lambda it: tidy(run(it)), schema)

@@ -134,29 +134,29 @@ def hash_spans(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.nda
 WORD_BLOCK = 1 << 22
 
 
-def hashed_words(data: np.ndarray, offsets: np.ndarray, table: np.ndarray = WORD_BYTE):
-    """(hash, unit) of every word, lower-cased A to Z, of concatenated units."""
-    if len(data) <= WORD_BLOCK:
-        return _block_words(data, offsets, table)
-    hashes, units, i = [], [], 0
+def word_blocks(data: np.ndarray, offsets: np.ndarray, table: np.ndarray = WORD_BYTE):
+    """(start, bytes, offsets of its units, number of its first unit) of blocks that end where a word does."""
+    i = 0
     while i < len(data):
         j = min(i + WORD_BLOCK, len(data))
-        while j < len(data) and table[data[j]]:  # a block ends where a word does
+        while j < len(data) and table[data[j]]:
             gap = np.flatnonzero(~table[data[j:j + WORD_BLOCK]])
             j = j + int(gap[0]) if len(gap) else min(j + WORD_BLOCK, len(data))
         first = int(np.searchsorted(offsets, i, side="right")) - 1
         last = int(np.searchsorted(offsets, j, side="left"))
-        h, unit = _block_words(data[i:j], np.clip(offsets[first:last + 1], i, j) - i, table)
-        hashes.append(h)
-        units.append(unit + first)
+        yield i, data[i:j], np.clip(offsets[first:last + 1], i, j) - i, first
         i = j
-    return np.concatenate(hashes), np.concatenate(units)
 
 
-def _block_words(data, offsets, table):
-    low = LOWER[data]
-    s, e, unit = word_bounds(low, offsets, table)
-    return hash_spans(low, s, e), unit
+def hashed_words(data: np.ndarray, offsets: np.ndarray, table: np.ndarray = WORD_BYTE):
+    """(hash, unit) of every word, lower-cased A to Z, of concatenated units."""
+    hashes, units = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)]
+    for _, block, own, first in word_blocks(data, offsets, table):
+        low = LOWER[block]
+        s, e, unit = word_bounds(low, own, table)
+        hashes.append(hash_spans(low, s, e))
+        units.append(unit + first)
+    return (hashes[1], units[1]) if len(hashes) == 2 else (np.concatenate(hashes), np.concatenate(units))
 
 
 def order_in_units(unit: np.ndarray, key: np.ndarray, n_units: int, level: np.ndarray | None = None, level_bits: int = 0) -> np.ndarray:

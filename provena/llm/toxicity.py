@@ -21,7 +21,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from provena.llm.labelled import sample
-from provena.llm.textarrays import LOWER, chunks, hash_spans, ship, signed, utf8, word_bounds
+from provena.llm.textarrays import LOWER, chunks, hash_spans, ship, signed, tidy, utf8, word_bounds
 
 #: Names of groups, swapped within a line.
 IDENTITY_TERMS = [
@@ -216,4 +216,4 @@ def score(df: DataFrame, model: dict, id_col: str = "doc_id", text_col: str = "t
             s = np.concatenate(got) if got else np.zeros(0)
             yield pa.RecordBatch.from_arrays([batch.column(id_col), pa.array(s), pa.array((s >= 0.5).astype(np.int32))], [id_col, "score", "predicted"])
 
-    return df.select(id_col, text_col).mapInArrow(run, f"`{id_col}` {dict(df.dtypes)[id_col]}, score double, predicted int")
+    return df.select(id_col, text_col).mapInArrow(lambda it: tidy(run(it)), f"`{id_col}` {dict(df.dtypes)[id_col]}, score double, predicted int")

@@ -351,23 +351,22 @@ def encode(df: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "te
         enc = encoder(path)
         for batch in batches:
             data, offsets = utf8(batch.column(text_col))
-            count, said, read, arr, ends = [], [], [], [], []
             for i, j in chunks(offsets, 1_000_000):
-                o = offsets[i:j + 1] - offsets[i]
-                ids, at = enc.encode_bytes(data[offsets[i]:offsets[j]], o)
-                count.append(np.diff(at))
-                said += [hashlib.sha256(x).hexdigest() for x in enc.decimals(ids, at)]
-                read += [hashlib.sha256(x).hexdigest() for x in enc.decode_all(ids, at)]
+                ids, at = enc.encode_bytes(data[offsets[i]:offsets[j]], offsets[i:j + 1] - offsets[i])
+                cols = [
+                    batch.column(id_col).slice(i, j - i), pa.array(np.diff(at), pa.int64()),
+                    *(pa.array([hashlib.sha256(x).hexdigest() for x in texts], pa.string()) for texts in (enc.decimals(ids, at), enc.decode_all(ids, at))),
+                ]
+                names = [id_col, "n_tokens", "ids_sha256", "decoded_sha256"]
                 if not digests_only:
-                    arr += np.split(ids.astype(np.int32), at[1:-1])
-                    ends += [np.cumsum(enc.word_len[x]).astype(np.int32) for x in np.split(ids, at[1:-1])]
-            n = np.concatenate(count) if count else np.zeros(0, np.int64)
-            cols = [batch.column(id_col), pa.array(n, pa.int64()), pa.array(said, pa.string()), pa.array(read, pa.string())]
-            names = [id_col, "n_tokens", "ids_sha256", "decoded_sha256"]
-            if not digests_only:
-                cols += [pa.array(arr, pa.list_(pa.int32())), pa.array(ends, pa.list_(pa.int32()))]
-                names += ["ids", "ends"]
-            yield pa.RecordBatch.from_arrays(cols, names)
+                    size = enc.word_len[ids]
+                    upto = np.cumsum(size)
+                    before = np.concatenate([[0], upto])[at]  # bytes before each text
+                    ends = (upto - np.repeat(before[:-1], np.diff(at))).astype(np.int32)
+                    cut = pa.array(at.astype(np.int32))
+                    cols += [pa.ListArray.from_arrays(cut, pa.array(x)) for x in (ids.astype(np.int32), ends)]
+                    names += ["ids", "ends"]
+                yield pa.RecordBatch.from_arrays(cols, names)
 
     kind = dict(df.dtypes)[id_col]
     schema = f"`{id_col}` {kind}, n_tokens long, ids_sha256 string, decoded_sha256 string"

@@ -2,18 +2,23 @@
 
 Fixed patterns give the base spans of whole texts.  A bidirectional LSTM over
 character classes with a linear-chain CRF, trained in numpy from labelled spans,
-adds spans that the patterns miss (national phone numbers, cards and addresses
-in other writing).  Overlapping windows are decoded, each character takes the tag
-of the window in which it lies deepest, and spans are read from the whole tag
-sequence.  An added span must pass the checks of its kind and touch no base span.
-
-Every kind needs a digit or an at sign, so windows lie around those that no base
-span holds, over the whole text; a text made of them is decoded throughout.
-Null and empty texts have no spans; repeated rows get equal spans.
+adds spans that the patterns miss: national phone numbers, cards and addresses in
+other writing, and items that the patterns drop because they ran on into a number
+behind them.  Overlapping windows are decoded, each character takes the tag of the
+window in which it lies deepest, and spans are read from the whole tag sequence.
+An added span must pass the checks of its kind and touch no base span.
+
+Every kind needs a digit or an at sign, written out or not, so windows lie around
+those that no base span holds, over the whole text; a text made of them is decoded
+throughout.  Texts are handled in chunks of bytes, and a long text needs two bytes
+a character beside itself.  Null and empty texts have no spans, repeated rows get
+equal spans, an empty table gives an empty one; only the id and the text are read,
+whatever the other columns are called.
 """
 
 from __future__ import annotations
 
+import bisect
 import hashlib
 import re
 
@@ -23,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from provena.llm.labelled import lowest
-from provena.llm.textarrays import ship, tidy
+from provena.llm.textarrays import chunks, ship, tidy, utf8
 
 KINDS = ("email", "ip", "card", "phone")
 
@@ -36,6 +41,13 @@ DOTTED = re.compile(r"[0-9][0-9.]*")
 CARD = re.compile(r"[0-9]([\x20-]?[0-9])+")
 PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 
+#: What an added address must look like: the at sign or the dots apart, bracketed or written out.
+_AT, _DOT = r"(?: ?@ ?| ?[\[({] ?at ?[\])}] ?)", r"(?: ?\. ?| ?[\[({] ?(?:dot|\.) ?[\])}] ?)"
+ADDED_EMAIL = re.compile(rf"[A-Za-z0-9._%+-]+{_AT}[A-Za-z0-9-]+(?:{_DOT}[A-Za-z0-9-]+)+", re.IGNORECASE)
+ADDED_IP = re.compile(rf"[0-9]+(?:{_DOT}[0-9]+){{3}}")
+#: What windows lie around.
+SIGNS = re.compile(r"[0-9@]+|[\[({] ?at ?[\])}]", re.IGNORECASE)
+
 WINDOW, STRIDE, AROUND = 64, 32, 24
 TAGS = 1 + 2 * len(KINDS)  # none, then begin and inside of each kind
 CLASSES = 18
@@ -51,6 +63,8 @@ def _char_classes() -> np.ndarray:
     for k, ch in enumerate("@.-+() _,:/"):
         c[ord(ch)] = 3 + k
     c[ord("%")] = c[ord("_")]
+    for left, right in ("[]", "{}"):
+        c[ord(left)], c[ord(right)] = c[ord("(")], c[ord(")")]
     return c
 
 
@@ -86,7 +100,7 @@ def _emails(text: str):
 
 
 def base_spans(text: str) -> list[tuple[int, int, int]]:
-    """(start, end, kind number), by start and kind."""
+    """(start, end, kind number), by start, then kind."""
     out = [(s, e, 0) for s, e in _emails(text)]
     if re.search("[0-9]", text):
         for run in DOTTED.finditer(text):
@@ -102,7 +116,11 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
         for m in PHONE.finditer(text):
             if 9 <= len(re.sub("[^0-9]", "", m[0])) <= 15:
                 out.append((m.start(), m.end(), 3))
-    return sorted(out)
+    return sorted(out, key=by_place)
+
+
+def by_place(span) -> tuple[int, int]:
+    return span[0], span[2]
 
 
 def _allowed(text: str, s: int, e: int, kind: int) -> bool:
@@ -113,13 +131,13 @@ def _allowed(text: str, s: int, e: int, kind: int) -> bool:
     if not outside:
         return False
     if kind == 0:
-        return bool(re.fullmatch(r"\S+ ?@ ?[\w-]+( ?\. ?[\w-]+)+", said))
+        return bool(ADDED_EMAIL.fullmatch(said))
     if kind == 1:
         parts = re.findall("[0-9]+", said)
-        return len(parts) == 4 and all(len(p) <= 3 and int(p) <= 255 for p in parts)
+        return bool(ADDED_IP.fullmatch(said)) and all(len(p) <= 3 and int(p) <= 255 for p in parts)
     if kind == 2:
         return bool(re.fullmatch(r"[0-9][0-9 ./-]*[0-9]", said)) and 12 <= len(digits) <= 19 and luhn(digits)
-    return bool(re.fullmatch(r"[0-9(][0-9 ().-]*[0-9]", said)) and 9 <= len(digits) <= 15 and len(said) > len(digits)
+    return bool(re.fullmatch(r"\+?[0-9(][0-9 ().-]*[0-9]", said)) and 9 <= len(digits) <= 15 and len(said) > len(digits)
 
 
 # --- the network -------------------------------------------------------------
@@ -210,7 +228,7 @@ def loss_and_gradients(m: dict, x: np.ndarray, y: np.ndarray):
     return float((z - gold).mean()), grads
 
 
-def train(x: np.ndarray, y: np.ndarray, size: int = 12, steps: int = 260, batch: int = 96, seed: int = 5) -> dict:
+def train(x: np.ndarray, y: np.ndarray, size: int = 20, steps: int = 450, batch: int = 128, seed: int = 5) -> dict:
     """Adam on windows (n, WINDOW) of classes and tags."""
     rng = np.random.default_rng(seed)
     m = {}
@@ -261,7 +279,7 @@ def viterbi(m: dict, x: np.ndarray) -> np.ndarray:
 def _starts(text: str, spans) -> list[int]:
     """Where windows begin: around digits and at signs outside the base spans, every STRIDE in long stretches."""
     ends, regions, k = sorted((s, e) for s, e, _ in spans), [], 0
-    for m in re.finditer(r"[0-9@]+", text):
+    for m in SIGNS.finditer(text):
         while k < len(ends) and ends[k][1] <= m.start():
             k += 1
         if k < len(ends) and ends[k][0] <= m.start() and m.end() <= ends[k][1]:
@@ -282,64 +300,78 @@ def _windows(classes: np.ndarray, starts) -> np.ndarray:
     return np.where(at < len(classes), classes[np.minimum(at, len(classes) - 1)], PAD)
 
 
-def _tags_to_spans(tags: np.ndarray):
-    """(start, end, kind) of the tag sequence; an inside after another kind begins a span."""
-    i, n = 0, len(tags)
-    while i < n:
-        if tags[i]:
-            kind = (int(tags[i]) - 1) // 2
-            j = i + 1
-            while j < n and tags[j] == 2 + 2 * kind:
-                j += 1
-            yield i, j, kind
-            i = j
-        else:
-            i += 1
-
-
 def added_spans(texts: list[str], bases: list, m: dict, block: int = 512) -> list[list]:
     """The model's spans of each text that pass the checks and touch no base span."""
-    out = [[] for _ in texts]
-    jobs = [(d, s) for d, (t, b) in enumerate(zip(texts, bases)) for s in _starts(t, b)]
-    classes = {d: char_classes(texts[d]) for d in dict.fromkeys(d for d, _ in jobs)}
-    depth = np.minimum(np.arange(WINDOW), WINDOW - 1 - np.arange(WINDOW))
-    where, tags, deep, docs = [], [], [], []
-    for k in range(0, len(jobs), block):
-        part = jobs[k:k + block]
-        x = np.concatenate([_windows(classes[d], [s]) for d, s in part])
-        got = viterbi(m, x)
-        hot = got.any(1)  # windows without a tag still win the characters in which they lie deepest
-        for (d, s), row, _ in zip(part, got, hot):
-            where.append(s + np.arange(WINDOW))
-            tags.append(row)
-            deep.append(depth)
-            docs.append(d)
-    i = 0
-    while i < len(docs):
-        j = i
-        while j < len(docs) and docs[j] == docs[i]:
-            j += 1
-        d = docs[i]
-        if any(t.any() for t in tags[i:j]):
-            at, tg, dp = np.concatenate(where[i:j]), np.concatenate(tags[i:j]), np.concatenate(deep[i:j])
-            order = np.argsort(dp, kind="stable")
-            line = np.zeros(int(at.max()) + 1, np.uint8)
-            line[at[order]] = tg[order]
-            line = line[:len(texts[d])]
-            taken = bases[d]
-            for s, e, kind in _tags_to_spans(line):
-                while e > s and texts[d][e - 1] in " .,":
-                    e -= 1
-                while s < e and texts[d][s] in " .,":
-                    s += 1
-                if e > s and not any(s < be and bs < e for bs, be, _ in taken) and _allowed(texts[d], s, e, kind):
-                    out[d].append((s, e, kind))
-        i = j
+    out, jobs = [[] for _ in texts], []
+    open_docs: dict = {}  # document: classes, tag of each character, how deep it lay in the window that gave it
+
+    def decode():
+        got = viterbi(m, np.concatenate([_windows(open_docs[d][0], [s]) for d, s in jobs]))
+        for (d, s), row in zip(jobs, got):
+            _, tags, deep = open_docs[d]
+            n = min(WINDOW, len(tags) - s)
+            won = np.flatnonzero(DEPTH[:n] >= deep[s:s + n])
+            tags[s + won], deep[s + won] = row[won], DEPTH[won]
+        last = jobs[-1][0]
+        jobs.clear()
+        for d in [d for d in open_docs if d != last]:
+            close(d)
+
+    def close(d):
+        tags = open_docs.pop(d)[1]
+        if tags.any():
+            out[d] = _passed(texts[d], bases[d], tags)
+
+    for d, (text, base) in enumerate(zip(texts, bases)):
+        for s in _starts(text, base):
+            if d not in open_docs:
+                open_docs[d] = char_classes(text), np.zeros(len(text), np.uint8), np.zeros(len(text), np.uint8)
+            jobs.append((d, s))
+            if len(jobs) == block:
+                decode()
+    if jobs:
+        decode()
+    for d in list(open_docs):
+        close(d)
+    return out
+
+
+#: How deep each place of a window lies in it.
+DEPTH = np.minimum(np.arange(WINDOW), WINDOW - 1 - np.arange(WINDOW)).astype(np.uint8)
+
+
+def _passed(text: str, taken: list, tags: np.ndarray) -> list:
+    """The spans of a tag sequence, without blanks and marks at their ends, that pass the checks."""
+    out, starts = [], [s for s, _, _ in sorted(taken)]
+    longest = max((e - s for s, e, _ in taken), default=0)
+    by_start = sorted(taken)
+    for s, e, kind in _tags_to_spans(tags):
+        while e > s and text[e - 1] in " .,":
+            e -= 1
+        while s < e and text[s] in " .,":
+            s += 1
+        near = by_start[bisect.bisect_left(starts, s - longest):bisect.bisect_left(starts, e)]
+        if e > s and not any(s < be for _, be, _ in near) and _allowed(text, s, e, kind):
+            out.append((s, e, kind))
     return out
 
 
+def _tags_to_spans(tags: np.ndarray):
+    """(start, end, kind) of the tag sequence; an inside after another kind begins a span."""
+    hot = np.flatnonzero(tags)
+    if not len(hot):
+        return
+    t = tags[hot]
+    kind = (t.astype(np.int64) - 1) // 2
+    new = np.ones(len(hot), bool)
+    new[1:] = (np.diff(hot) > 1) | (t[1:] % 2 == 1) | (kind[1:] != kind[:-1])
+    first = np.flatnonzero(new)
+    for i, j in zip(first.tolist(), np.append(first[1:], len(hot)).tolist()):
+        yield int(hot[i]), int(hot[j - 1]) + 1, int(kind[i])
+
+
 def said(spans) -> str:
-    return ",".join(f"{KINDS[k]}:{s}:{e}" for s, e, k in sorted(spans))
+    return ",".join(f"{KINDS[k]}:{s}:{e}" for s, e, k in sorted(spans, key=by_place))
 
 
 # --- training windows --------------------------------------------------------
@@ -356,59 +388,89 @@ def _tagged(text: str, spans, start: int):
     return _windows(char_classes(text), [start])[0].astype(np.uint8), y
 
 
-def made_windows(n: int = 900, seed: int = 3):
-    """Labelled windows written by rule: each kind in several forms, and numbers that are no personal data."""
+def made_texts(n: int, seed: int):
+    """(text, spans) written by rule: each kind in several forms, alone or one behind another, and numbers that are no personal data."""
     rng = np.random.default_rng(seed)
     dig = lambda k: "".join(map(str, rng.integers(0, 10, k)))
     word = lambda: "".join(rng.choice(list("abcdefghilmnoprstu"), rng.integers(2, 9)))
     pick = lambda *a: a[rng.integers(len(a))]
 
     def card():
-        body = "4" + dig(14)
-        last = next(str(c) for c in range(10) if luhn(body + str(c)))
-        d = body + last
-        return pick(d, " ".join(d[i:i + 4] for i in range(0, 16, 4)), "-".join(d[i:i + 4] for i in range(0, 16, 4)), ".".join(d[i:i + 4] for i in range(0, 16, 4)))
-
+        size = int(rng.choice([13, 15, 16, 16, 16, 16, 19]))
+        body = str(rng.integers(2, 7)) + dig(size - 2)
+        d = body + next(str(c) for c in range(10) if luhn(body + str(c)))
+        return pick(d, d, *(mark.join(d[i:i + 4] for i in range(0, size, 4)) for mark in " -./"))
+
+    def no_card():
+        body = dig(15)
+        d = body + next(str(c) for c in range(9, -1, -1) if not luhn(body + str(c)))
+        return pick(d, " ".join(d[i:i + 4] for i in range(0, 16, 4)))
+
+    at, dot = lambda: pick("@", " @ ", " [at] ", " (at) ", "[at]"), lambda: pick(".", ".", " . ", " [dot] ", " (dot) ", "[.]")
+    name = lambda: f"{word()}{pick('', '.', '_')}{dig(int(rng.integers(0, 3)))}"
     forms = [
-        (0, lambda: f"{word()}{pick('', '.', '_')}{dig(2)}@{word()}.{pick('com', 'org', 'example.com')}"), (0, lambda: f"{word()} @ {word()}.{pick('com', 'net')}"),
-        (1, lambda: ".".join(str(x) for x in rng.integers(0, 256, 4))), (2, card),
-        (3, lambda: f"+{pick('1', '49', '33')} ({dig(3)}) {dig(3)}-{dig(4)}"), (3, lambda: f"({dig(3)}) {dig(3)}-{dig(4)}"), (3, lambda: f"{dig(3)}-{dig(3)}-{dig(4)}"),
-        (None, lambda: f"{rng.integers(1900, 2030)}-{rng.integers(10, 13)}-{rng.integers(10, 29)}"), (None, lambda: f"{dig(1)}.{dig(1)}"), (None, lambda: dig(rng.integers(1, 9))),
-        (None, lambda: "".join(rng.choice(list("0123456789abcdef"), 40))), (None, lambda: f"{dig(3)},{dig(3)}.{dig(2)}"), (None, lambda: f"v{dig(1)}.{dig(2)}.{dig(1)}"), (None, lambda: dig(17)),
+        (0, lambda: f"{name()}@{word()}.{pick('com', 'org', 'example.com')}"), (0, lambda: f"{name()}{at()}{word()}{dot()}{pick('com', 'net', 'org')}"),
+        (0, lambda: f"{name()}{at()}{word()}{dot()}{pick('com', 'net', 'org')}"),
+        (1, lambda: ".".join(str(x) for x in rng.integers(0, 256, 4))), (1, lambda: pick("[.]", " . ", "(.)", " [dot] ").join(str(x) for x in rng.integers(0, 256, 4))),
+        (2, card), (2, card),
+        (3, lambda: f"+{pick('1', '49', '33', '351')} ({dig(3)}) {dig(3)}-{dig(4)}"), (3, lambda: f"+{pick('1', '44', '34')} {dig(3)} {dig(3)} {dig(4)}"),
+        (3, lambda: f"({dig(3)}) {dig(3)}-{dig(4)}"), (3, lambda: f"{dig(3)}-{dig(3)}-{dig(4)}"), (3, lambda: f"{dig(3)}.{dig(3)}.{dig(4)}"),
+        (None, lambda: f"{rng.integers(1900, 2030)}-{rng.integers(10, 13)}-{rng.integers(10, 29)}"), (None, lambda: f"{dig(1)}.{dig(1)}"), (None, lambda: dig(int(rng.integers(1, 9)))),
+        (None, lambda: "".join(rng.choice(list("0123456789abcdef"), int(rng.integers(16, 41))))), (None, lambda: f"{dig(3)},{dig(3)}.{dig(2)}"), (None, lambda: f"v{dig(1)}.{dig(2)}.{dig(1)}"),
+        (None, no_card), (None, lambda: f"{pick('12', '7', '19')}:{dig(2)}"), (None, lambda: "".join(rng.choice(list("ABCDEFGHKLMNPQRSTUVWXYZ0123456789"), 20))),
     ]
-    xs, ys = [], []
     for k in range(n):
-        kind, make = forms[k % len(forms)]
-        before = " ".join(word() for _ in range(rng.integers(0, 8)))
-        item = make()
-        lead = before + pick(" ", " ", "\n", ": ") if before else ""
-        text = lead + item + pick("", ".", "%%% ", " ", ", ") + " " + " ".join(word() for _ in range(8))
-        spans = [] if kind is None else [(len(lead), len(lead) + len(item), kind)]
-        x, y = _tagged(text, spans, int(max(0, len(lead) - rng.integers(0, 40))))
+        text, spans = " ".join(word() for _ in range(rng.integers(0, 8))), []
+        text += pick(" ", " ", "\n", ": ", ", ") if text else ""
+        for j in range(int(rng.choice([1, 1, 2, 3]))):  # what stands behind one another has a blank between
+            kind, make = forms[k % len(forms)] if j == 0 else forms[int(rng.integers(len(forms)))]
+            item = make()
+            text += " " * (j > 0)
+            if kind is not None:
+                spans.append((len(text), len(text) + len(item), kind))
+            text += item
+        yield text + pick("", ".", "%%% ", " ", ", ", "!! ", " | ") + " " + " ".join(word() for _ in range(8)), spans
+
+
+def made_windows(n: int = 2600, seed: int = 3):
+    """Labelled windows of made texts."""
+    rng = np.random.default_rng(seed + 1)
+    xs, ys = [], []
+    for text, spans in made_texts(n, seed):
+        sign = SIGNS.search(text)
+        x, y = _tagged(text, spans, int(max(0, (sign.start() if sign else 0) - rng.integers(0, 40))))
         xs.append(x)
         ys.append(y)
     return np.array(xs), np.array(ys)
 
 
-def fit(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", rows: int = 2000, per_row: int = 6) -> dict:
-    """A model from spans written by rule and from the base spans of at most `rows` documents, `per_row` windows of each."""
+def _doubtful(text: str, spans) -> list[tuple[int, int]]:
+    """Numbers of more digits than their kind may have, outside base spans: what they hold the patterns can't say."""
+    out = []
+    for pattern, most in ((CARD, 19), (PHONE, 15)):
+        out += [m.span() for m in pattern.finditer(text) if sum(c.isdigit() for c in m[0]) > most]
+    return out
+
+
+def fit(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", rows: int = 2000, windows: int = 4000) -> dict:
+    """A model from spans written by rule and from the base spans of a sample: at most `rows` documents and `windows` of all their windows, those of the lowest hashes."""
     ship(df.sparkSession)
 
     def run(batches):
         for b in batches:
-            xs, ys = [], []
             for text in b.column("t").to_pylist():
                 spans = base_spans(text)
-                at = [max(0, s - 20) for s, _, _ in spans][:per_row // 2] + _starts(text, spans)[:per_row // 2]
-                for start in at:
-                    x, y = _tagged(text, spans, start)
-                    xs.append(x.tobytes())
-                    ys.append(y.tobytes())
-            yield pa.RecordBatch.from_arrays([pa.array(xs, pa.binary()), pa.array(ys, pa.binary())], ["x", "y"])
+                doubt = _doubtful(text, spans)
+                at = [max(0, s - 20) for s, _, _ in spans] + _starts(text, spans)
+                at = [s for s in at if not any(a < s + WINDOW and s < e for a, e in doubt)]
+                for k in range(0, len(at), 1000):
+                    pairs = [_tagged(text, spans, s) for s in at[k:k + 1000]]
+                    yield pa.RecordBatch.from_arrays([pa.array([x.tobytes() for x, _ in pairs], pa.binary()), pa.array([y.tobytes() for _, y in pairs], pa.binary())], ["x", "y"])
 
     ids = lowest(df.select(F.col(id_col).alias("i")).where("i is not null").distinct(), "i", rows)
     few = df.select(F.col(id_col).alias("i"), F.col(text_col).alias("t")).join(F.broadcast(ids), "i").where(F.col("t").rlike("[0-9@]"))
-    got = sorted((bytes(r["x"]), bytes(r["y"])) for r in few.select("t").mapInArrow(run, "x binary, y binary").collect())
+    seen = few.select("t").mapInArrow(run, "x binary, y binary").distinct()
+    got = sorted((bytes(r["x"]), bytes(r["y"])) for r in seen.orderBy(F.xxhash64("x", "y"), "x", "y").limit(windows).collect())
     x, y = made_windows()
     if got:
         x = np.concatenate([x, np.array([np.frombuffer(a, np.uint8) for a, _ in got])])
@@ -422,10 +484,9 @@ def find(df: DataFrame, model: dict, id_col: str = "doc_id", text_col: str = "te
 
     def run(batches):
         for b in batches:
-            column = b.column(text_col)
-            cols = {k: [] for k in (*KINDS, "sha", "spans", "added")}
-            for at in range(0, len(column), 200):
-                texts = [t or "" for t in column.slice(at, 200).to_pylist()]
+            for i, j in chunks(utf8(b.column(text_col))[1]):
+                cols = {k: [] for k in (*KINDS, "sha", "spans", "added")}
+                texts = [t or "" for t in b.column(text_col).slice(i, j - i).to_pylist()]
                 bases = [base_spans(t) for t in texts]
                 for base, more in zip(bases, added_spans(texts, bases, model)):
                     every = base + more
@@ -434,10 +495,10 @@ def find(df: DataFrame, model: dict, id_col: str = "doc_id", text_col: str = "te
                     cols["sha"].append(hashlib.sha256(said(base).encode()).hexdigest())
                     cols["spans"].append(said(every))
                     cols["added"].append(len(more))
-            yield pa.RecordBatch.from_arrays(
-                [b.column(id_col), *(pa.array(cols[k], pa.int64()) for k in KINDS), pa.array(cols["sha"], pa.string()), pa.array(cols["spans"], pa.string()), pa.array(cols["added"], pa.int64())],
-                [id_col, *(f"n_{k}" for k in KINDS), "base_sha256", "spans", "n_added"],
-            )
+                yield pa.RecordBatch.from_arrays(
+                    [b.column(id_col).slice(i, j - i), *(pa.array(cols[k], pa.int64()) for k in KINDS), pa.array(cols["sha"], pa.string()), pa.array(cols["spans"], pa.string()), pa.array(cols["added"], pa.int64())],
+                    [id_col, *(f"n_{k}" for k in KINDS), "base_sha256", "spans", "n_added"],
+                )
 
     schema = f"`{id_col}` {dict(df.dtypes)[id_col]}, n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, spans string, n_added long"
     return df.select(id_col, text_col).mapInArrow(lambda it: tidy(run(it)), schema)

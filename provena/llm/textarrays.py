@@ -9,6 +9,7 @@ from __future__ import annotations
 import ctypes
 import hashlib
 import os
+import re
 import zlib
 
 import numpy as np
@@ -33,8 +34,15 @@ _LOW_BYTES = np.array([(1 << (8 * k)) - 1 for k in range(9)], np.uint64)
 LONG_WORD = 256
 
 
+#: Bytes of an Arrow batch between Spark and its Python workers; a longer single row is a batch of its own.
+BATCH_BYTES = 8 << 20
+
+
 def ship(spark) -> None:
-    """Let Python workers import this package even where only the driver's sys.path has it."""
+    """Let Python workers import this package even where only the driver's sys.path has it, and bound the batches that they get."""
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if int(re.sub("[^0-9-]", "", spark.conf.get(name)) or -1) not in range(1, BATCH_BYTES + 1):
+        spark.conf.set(name, str(BATCH_BYTES))
     root = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
     env = spark.sparkContext.environment
     if root not in env.get("PYTHONPATH", "").split(":"):

@@ -136,11 +136,11 @@ def set_concat(spark, sf_dir):
     return _run(spark, sf_dir, code, "t", "customer", "supplier")
 
 
-_ORD = "SELECT o_custkey AS k, count(*) AS n, sum(o_totalprice) AS total FROM orders WHERE o_orderkey % 5 = 0 GROUP BY 1"
+_ORD = "SELECT o_custkey AS k, count(*) AS n, sum(o_totalprice) AS total FROM orders GROUP BY 1"
 
 
 def _order_totals(spark, sf_dir) -> DataFrame:
-    return table(spark, sf_dir, "orders").where("o_orderkey % 5 = 0").groupBy(F.col("o_custkey").alias("k")).agg(F.count("*").alias("n"), F.sum("o_totalprice").alias("total"))
+    return table(spark, sf_dir, "orders").groupBy(F.col("o_custkey").alias("k")).agg(F.count("*").alias("n"), F.sum("o_totalprice").alias("total"))
 
 
 def _merged(spark, sf_dir, rest: str) -> DataFrame:
@@ -159,15 +159,15 @@ def merge_in_flags(spark, sf_dir):
     return _merged(spark, sf_dir, "if a and not b;")
 
 
-@query("""WITH a AS (SELECT o_custkey AS k, o_orderkey AS x, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) AS p FROM orders WHERE o_orderkey % 3 = 0),
-b AS (SELECT o_custkey AS k, o_orderkey AS y, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) AS p FROM orders WHERE o_orderkey % 3 = 1),
+@query("""WITH a AS (SELECT o_custkey AS k, o_orderkey AS x, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) AS p FROM orders),
+b AS (SELECT user_id AS k, event_id AS y, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS p FROM events),
 n AS (SELECT coalesce(s.k, t.k) AS k, s.m AS na, t.m AS nb FROM (SELECT k, max(p) AS m FROM a GROUP BY k) s FULL JOIN (SELECT k, max(p) AS m FROM b GROUP BY k) t ON s.k = t.k),
 g AS (SELECT k, na, nb, unnest(range(1, greatest(coalesce(na, 0), coalesce(nb, 0)) + 1)) AS p FROM n)
 SELECT g.k, a.x, b.y FROM g LEFT JOIN a ON a.k = g.k AND a.p = least(g.p, na) LEFT JOIN b ON b.k = g.k AND b.p = least(g.p, nb)""")
 def merge_many_to_many(spark, sf_dir):
-    o = table(spark, sf_dir, "orders")
-    a = o.where("o_orderkey % 3 = 0").select(F.col("o_custkey").alias("k"), F.col("o_orderkey").alias("x"))
-    b = o.where("o_orderkey % 3 = 1").select(F.col("o_custkey").alias("k"), F.col("o_orderkey").alias("y"))
+    """All orders of a customer beside all events of the user of that number."""
+    a = table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("k"), F.col("o_orderkey").alias("x"))
+    b = table(spark, sf_dir, "events").select(F.col("user_id").alias("k"), F.col("event_id").alias("y"))
     return match_merge(a, b, ["k"], ["x", "y"]).select("k", "x", "y")
 
 
@@ -223,10 +223,7 @@ def proc_sql_group(spark, sf_dir):
 
 @query("SELECT r_regionkey, r_name, CAST(r_regionkey * 10 AS DOUBLE) AS code FROM region")
 def csv_roundtrip_eval(spark, sf_dir):
-    import tempfile
-
-    folder = spark.sparkContext.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="csv-")
-    path = f"{folder}/region_csv_{abs(hash(sf_dir))}"
+    path = f"{graph.shared_folder(spark)}/region_csv_{abs(hash(sf_dir))}"
     table(spark, sf_dir, "region").write.mode("overwrite").option("header", True).csv(path)
     return evaluate("data t; set region; code = r_regionkey * 10; run;", "t", read_csv(spark, path, "r_regionkey int, r_name string"))
 

@@ -7,7 +7,7 @@ from dataclasses import dataclass, field
 
 from provena.lang import expr as E
 from provena.lang.lexer import Statement, statements, tokens
-from provena.lang.macro import expand
+from provena.lang.macro import expand_reported
 
 
 @dataclass
@@ -56,6 +56,7 @@ class Step:
 class Program:
     steps: list
     code: str
+    fallback: str | None = None  # why the macros were left as they stand
 
     @property
     def data_steps(self) -> list:
@@ -68,8 +69,9 @@ class Program:
 
 def parse(code: str, expand_macros: bool = False, include_base=None) -> Program:
     """The steps of a program; with expand_macros (or include_base) its macros are expanded first."""
+    fallback = None
     if expand_macros or include_base is not None:
-        code = expand(code, include_base)
+        code, fallback = expand_reported(code, include_base)
     sts = statements(code)
     steps, i = [], 0
     while i < len(sts):
@@ -80,7 +82,7 @@ def parse(code: str, expand_macros: bool = False, include_base=None) -> Program:
             i = _proc_step(sts, i, steps)
         else:
             i += 1
-    return Program(steps, code)
+    return Program(steps, code, fallback)
 
 
 def _first(text: str) -> str:
@@ -172,7 +174,9 @@ class _Body:
             return self.loop(sts, i, controls, rest)
         if word == "else":
             return [("problem", text, "ELSE without IF")], i + 1
-        simple = {"set": "set", "merge": "merge", "update": "merge"}
+        if word == "select" and (not rest or rest.startswith("(")):
+            return self.select(sts, i, controls, rest)
+        simple = {"set": "set", "merge": "merge", "update": "update"}
         if word in simple and rest and not rest.startswith("="):
             tables = table_list(rest)
             step.inputs += [t for t in tables]
@@ -221,11 +225,15 @@ class _Body:
     @staticmethod
     def _retained(rest: str) -> list:
         out: list = []
+        sign = 1.0
         for t in tokens(rest):
             if t.kind == "name":
                 out.append([t.text, None])
-            elif out and t.text != "-":
-                out[-1][1] = ("num", float(t.text)) if t.kind == "num" else ("str", t.text) if t.kind == "str" else ("missing",)
+            elif t.text in "+-":
+                sign = -1.0 if t.text == "-" else 1.0
+            elif out:
+                out[-1][1] = ("num", sign * float(t.text)) if t.kind == "num" else ("str", t.text) if t.kind == "str" else ("missing",)
+                sign = 1.0
         if out and all(v is None for _, v in out[:-1]) and out[-1][1] is not None:  # RETAIN a b 0 gives both
             out = [[n, out[-1][1]] for n, _ in out]
         return [tuple(x) for x in out]
@@ -262,6 +270,28 @@ class _Body:
             no, i = self.branch(sts, i, under, sts[i].text[4:].strip())
         return [("if", tree, yes, no, test)], i
 
+    def select(self, sts, i: int, controls: list, rest: str):
+        """SELECT, with WHEN and OTHERWISE to its END, as IF and ELSE: the first WHEN that holds acts."""
+        arms, under, j = [], controls, i + 1
+        while j < len(sts) and not re.fullmatch(r"end", sts[j].text, re.I) and not _ends(sts[j].text):
+            text = sts[j].text
+            m = re.match(r"(when|otherwise)\b\s*", text, re.I)
+            if m is None:
+                return [("problem", text, "a statement between WHENs")], j + 1
+            if m[1].lower() == "when":
+                inner, action = _parenthesised(text[m.end():])
+                test = " or ".join(f"({rest[1:-1]}) = ({v})" for v in _commas(inner)) if rest else inner
+                tree = self._tree(test)
+                under = [*under, tree] if tree is not None else under
+            else:
+                test, tree, action = "otherwise", ("num", 1.0), text[m.end():]
+            body, j = self.branch(sts, j, under, action.strip())
+            arms.append((test, tree, body))
+        out: list = []
+        for test, tree, body in reversed(arms):
+            out = body if test == "otherwise" else [("if", tree, body, out, test)]
+        return out, j + 1
+
     def branch(self, sts, i: int, controls: list, action: str):
         if re.fullmatch(r"do", action, re.I):
             return self.block(sts, i + 1, controls, True)
@@ -279,6 +309,28 @@ class _Body:
         return [("problem", f"do {rest}", "DO loop")], j
 
 
+def _parenthesised(text: str) -> tuple[str, str]:
+    """(what stands in the first parentheses, what follows them)."""
+    depth = 0
+    for t in tokens(text):
+        depth += {"(": 1, ")": -1}.get(t.text, 0) if t.kind != "str" else 0
+        if not depth:
+            return text[text.index("(") + 1:t.at], text[t.at + 1:]
+    return text.strip("("), ""
+
+
+def _commas(text: str) -> list[str]:
+    """Parts at commas outside parentheses and quotes."""
+    out, depth, last = [], 0, 0
+    for t in tokens(text):
+        if t.kind != "str":
+            depth += {"(": 1, ")": -1}.get(t.text, 0)
+            if t.text == "," and not depth:
+                out.append(text[last:t.at])
+                last = t.at + 1
+    return [x.strip() for x in [*out, text[last:]]]
+
+
 def _split_then(text: str) -> tuple[str, str] | None:
     for t in tokens(text):
         if t.kind == "name" and t.text.lower() == "then":

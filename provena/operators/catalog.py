@@ -44,11 +44,12 @@ def _name(table) -> str:
 
 
 def _described(code: str, expand_macros: bool, include_base):
-    """(steps, fields) of a program as plain rows."""
+    """(steps, fields, what kept its macros from being expanded) of a program as plain rows."""
     from provena.lang.parser import parse
 
     steps, fields = [], []
-    for k, s in enumerate(parse(code, expand_macros, include_base).steps):
+    program = parse(code, expand_macros, include_base)
+    for k, s in enumerate(program.steps):
         outputs = [t for t in s.outputs if t.name.lower() != "_null_"]
         steps.append({
             "step_idx": k, "kind": s.kind, "proc_name": s.proc, "output_table": _name(outputs[0]) if outputs else None, "source_line": s.line,
@@ -60,13 +61,14 @@ def _described(code: str, expand_macros: bool, include_base):
                 "step_idx": k, "stmt_idx": f.stmt, "name": f.name, "table": f.table, "operation": f.operation, "expression": f.expression,
                 "source_line": f.line, "problem": f.problem, "deps": pairs(f.deps), "controls": pairs(f.controls),
             })
-    return steps, fields
+    return steps, fields, program.fallback
 
 
 def parse_programs(df: DataFrame, expand_macros: bool = False, include_base=None) -> DataFrame:
     """A row per program (program_id, path, code): its status and its steps and definitions, nested.
 
-    A program that can't be parsed has status PARSE_ERROR and its error; it does not stop the others.
+    A program that can't be parsed has status PARSE_ERROR and its error; one whose macros can't be
+    expanded is read as it stands, with status NOT_EXPANDED and the reason.  Neither stops the others.
     """
     ship(df.sparkSession)
 
@@ -77,7 +79,8 @@ def parse_programs(df: DataFrame, expand_macros: bool = False, include_base=None
                 code = code or ""
                 steps, defs, status, error = [], [], "OK", None
                 try:
-                    steps, defs = _described(code, expand_macros, include_base)
+                    steps, defs, error = _described(code, expand_macros, include_base)
+                    status = "OK" if error is None else "NOT_EXPANDED"
                 except Exception as e:  # one bad program must not fail a corpus
                     status, error = "PARSE_ERROR", f"{type(e).__name__}: {e}"
                 for k, v in (("bytes", len(code.encode("utf-8", "replace"))), ("lines", code.count("\n") + 1), ("status", status), ("error", error), ("steps", steps), ("defs", defs)):

@@ -161,7 +161,7 @@ def shortest_paths(edges: DataFrame, start: DataFrame) -> DataFrame:
                 src += [s] * len(best)
                 dst += list(best)
                 path += list(best.values())
-            program = t if "program_id" in t.column_names else wanted
+            program = t if len(t) else wanted
             flat = pa.ListArray.from_arrays(pa.array(np.cumsum([0] + [len(p) for p in path]), pa.int32()), g.said([x for p in path for x in p]))
             return pa.table([_program(program, len(src)), g.said(src), g.said(dst), flat], names=["program_id", "src", "dst", "path"])
 

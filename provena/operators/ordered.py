@@ -44,8 +44,28 @@ def running_sum(df: DataFrame, value: Column, order: list[str], name: str) -> Da
     return parts.join(before, PART).withColumn(name, own + F.col("__before")).drop(PART, AT, "__before", "__v")
 
 
+def carried(df: DataFrame, value: Column, present: Column, order: list[str], name: str) -> DataFrame:
+    """df with a struct<v> of the last `value` of an earlier row where `present` holds, in a total order; null where there is none."""
+    parts = ranged(df.withColumn("__v", F.when(present, F.struct(value.alias("v")))), order)
+    own = F.last("__v", ignorenulls=True).over(W.partitionBy(PART).orderBy(*order).rowsBetween(W.unboundedPreceding, -1))
+    ends = parts.groupBy(PART).agg(F.max_by("__v", F.when(F.col("__v").isNotNull(), F.col(AT))).alias("e"))  # a row a part
+    w = W.orderBy(PART).rowsBetween(W.unboundedPreceding, -1)
+    before = F.broadcast(ends.select(PART, F.last("e", ignorenulls=True).over(w).alias("__before")))
+    return parts.withColumn("__own", own).join(before, PART).withColumn(name, F.coalesce("__own", "__before")).drop(PART, AT, "__before", "__own", "__v")
+
+
 def lagged(df: DataFrame, column: str, n: int, order: list[str], name: str) -> DataFrame:
-    """df with the value of `column` n rows before, in a total order."""
-    rows = cut(numbered(df, order, "__ord"))
-    earlier = rows.select((F.col("__ord") + n).alias("__ord"), F.col(column).alias(name))
-    return rows.drop(name).join(earlier, "__ord", "left").drop("__ord") if name in df.columns else rows.join(earlier, "__ord", "left").drop("__ord")
+    """df with the value of `column` n rows before, in a total order.
+
+    Rows lag inside their range; the first n rows of a range, and they alone, look
+    among the last n of the ranges before it, by row number.
+    """
+    parts = ranged(df.withColumn("__x", F.col(f"`{column}`")), order)
+    sizes = parts.groupBy(PART).agg(F.count("*").alias("n"))
+    parts = parts.join(_before(sizes, "n"), PART).join(F.broadcast(sizes.withColumnRenamed("n", "__size")), PART)
+    own = F.lag("__x", n).over(W.partitionBy(PART).orderBy(*order))
+    number = F.col("__before") + F.col(AT)
+    tails = parts.where(F.col(AT) > F.col("__size") - n).select((number + n).alias("__g"), F.col("__x").alias("__lag"))
+    first = parts.where(F.col(AT) <= n).withColumn("__g", number).join(tails, "__g", "left").drop("__g")
+    rest = parts.withColumn("__lag", own).where(F.col(AT) > n)
+    return rest.unionByName(first).drop(name, PART, AT, "__x", "__before", "__size").withColumnRenamed("__lag", name)

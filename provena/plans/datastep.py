@@ -17,10 +17,13 @@ from provena.functions.compile import Env, compile_expr, truth
 from provena.functions.registry import Unsupported, num, text
 from provena.lang import expr as E
 from provena.lang.parser import Program, Step, parse
-from provena.operators.ordered import lagged, running_sum
+from provena.operators.ordered import carried, lagged, running_sum
 
 Tables = dict[str, DataFrame]
 
+#: Statements that change no value of a row.
+DECLARATIONS = {"length", "format", "informat", "label", "attrib", "put", "infile", "file", "title", "footnote", "options", "run", "quit"}
+
 
 class StepError(ValueError):
     """A step that can't be planned, with the reason."""
@@ -52,31 +55,49 @@ def match_merge(left: DataFrame, right: DataFrame, keys: list[str], order_by: li
     """Two tables merged by keys, row by row within each key.
 
     In a key's group the pth rows go together; the shorter side repeats its last
-    row.  Columns that both have come from the right, where it has a row.  Where
-    either side has one row at most for each key this is a full join; rows within
-    a key are ordered by `order_by`, or else by all their columns.
+    row.  Columns that both have come from the right, where it has a row.  A null
+    key is a key like any other.  Rows within a key are ordered by `order_by`, or
+    else by all their columns.
     """
 
-    def placed(df: DataFrame, mark: str) -> DataFrame:
-        own = [c for c in (order_by or df.columns) if c in df.columns]
-        order = W.partitionBy(*keys).orderBy(*own) if own else W.partitionBy(*keys).orderBy(F.lit(0))
-        return df.withColumn("__p", F.row_number().over(order)).withColumn(mark, F.lit(1))
-
-    a, b = placed(left, "__a"), placed(right, "__b")
-    sizes = a.groupBy(*keys).agg(F.max("__p").alias("__na")).join(b.groupBy(*keys).agg(F.max("__p").alias("__nb")), keys, "full")
-    slots = sizes.withColumn("__p", F.explode(F.sequence(F.lit(1), F.greatest("__na", "__nb"))))
-    slots = slots.withColumn("__pa", F.least("__p", "__na")).withColumn("__pb", F.least("__p", "__nb"))
+    own_keys = [F.col(f"`{k}`") for k in keys]
+
+    def side(df: DataFrame, mine: str, other: str, theirs: DataFrame) -> DataFrame:
+        rest = [c for c in df.columns if c not in keys]
+        by = [F.col(f"`{c}`") for c in (order_by or df.columns) if c in df.columns]
+        place = F.row_number().over(W.partitionBy(*own_keys).orderBy(*(by or [F.lit(0)])))
+        hold = lambda d: F.struct(F.lit(True).alias("__is"), *[F.col(f"`{c}`") for c in d.columns if c not in keys])
+        empty = F.lit(None).cast(theirs.select(hold(theirs).alias("x")).schema["x"].dataType)
+        return df.select(*own_keys, *[F.col(f"`{c}`") for c in rest], place.alias("__p")).select(*own_keys, "__p", hold(df).alias(mine), empty.alias(other))
+
+    # Both sides' rows of a key and place meet in one exchange by the keys; null keys are keys like others.
+    both = side(left, "__a", "__b", right).unionByName(side(right, "__b", "__a", left)).repartition(*own_keys)
+    met = both.groupBy(*own_keys, "__p").agg(F.first("__a", ignorenulls=True).alias("__a"), F.first("__b", ignorenulls=True).alias("__b"))
+    so_far = W.partitionBy(*own_keys).orderBy("__p").rowsBetween(W.unboundedPreceding, 0)
+    out = met.select(*own_keys, "__p", *[F.last(c, ignorenulls=True).over(so_far).alias(c) for c in ("__a", "__b")])
     shared = [c for c in left.columns if c in right.columns and c not in keys]
-    b2 = b.select(*keys, F.col("__p").alias("__pb"), "__b", *[F.col(c).alias(f"__r_{c}") if c in shared else F.col(c) for c in right.columns if c not in keys])
-    a2 = a.select(*keys, F.col("__p").alias("__pa"), "__a", *[c for c in left.columns if c not in keys])
-    out = slots.join(a2, [*keys, "__pa"], "left").join(b2, [*keys, "__pb"], "left")
-    merged = [F.when(F.col("__b").isNotNull(), F.col(f"__r_{c}")).otherwise(F.col(c)).alias(c) if c in shared else F.col(c) for c in left.columns if c not in keys]
+    a, b = (lambda c: F.col(f"__a.`{c}`")), (lambda c: F.col(f"__b.`{c}`"))
+    merged = [F.when(F.col("__b").isNotNull(), b(c)).otherwise(a(c)).alias(c) if c in shared else a(c).alias(c) for c in left.columns if c not in keys]
     return out.select(
-        *keys, *merged, *[c for c in right.columns if c not in keys and c not in shared],
+        *own_keys, *merged, *[b(c).alias(c) for c in right.columns if c not in keys and c not in shared],
         F.col("__a").isNotNull().alias(flags[0]), F.col("__b").isNotNull().alias(flags[1]), F.col("__p").alias("__place"),
     )
 
 
+def update_by(master: DataFrame, changes: DataFrame, keys: list[str], order_by: list[str] | None = None) -> DataFrame:
+    """The master's rows with the changes of their key applied in order, missing values changing nothing; keys that only changes have are added.
+
+    A key has one row in the result: the master is taken to have one row at most for each.
+    """
+    own = [c for c in changes.columns if c not in keys]
+    order = F.struct(*[F.col(f"`{c}`") for c in (order_by or changes.columns) if c in changes.columns])
+    last = changes.groupBy(*[F.col(f"`{k}`") for k in keys]).agg(*[F.max_by(F.col(f"`{c}`"), F.when(F.col(f"`{c}`").isNotNull(), order)).alias(c) for c in own])
+    out = match_merge(master, last.select(*keys, *[F.col(f"`{c}`").alias(f"__new_{c}") for c in own]), keys, None, ("__x", "__y"))
+    of = lambda c: F.coalesce(F.col(f"`__new_{c}`"), F.col(f"`{c}`")) if c in master.columns else F.col(f"`__new_{c}`")
+    names = [*master.columns, *[c for c in own if c not in master.columns]]
+    return out.select(*[F.col(f"`{c}`") if c in keys or c not in own else of(c).alias(c) for c in names])
+
+
 def concatenate(parts: list[DataFrame]) -> DataFrame:
     out = parts[0]
     for p in parts[1:]:
@@ -103,7 +124,7 @@ class _Plan:
     # --- the rows that come in ---
 
     def source(self, spark) -> DataFrame:
-        node = next((n for n in self.step.body if n[0] in ("set", "merge")), None)
+        node = next((n for n in self.step.body if n[0] in ("set", "merge", "update")), None)
         if node is None:
             rows = next((n[1] for n in self.step.body if n[0] == "datalines"), None)
             columns = next((n[1] for n in self.step.body if n[0] == "input"), "")
@@ -112,11 +133,15 @@ class _Plan:
         names = [str(t.options["in"]).lower() if "in" in t.options else None for t in node[1]]
         self.in_flags = {n for n in names if n}
         if node[0] == "set" or not self.by:
-            if node[0] == "merge":
-                raise StepError("MERGE without BY pairs rows by position, which tables here don't have")
+            if node[0] != "set":
+                raise StepError(f"{node[0].upper()} without BY pairs rows by position, which tables here don't have")
             parts = [p.withColumns({n: F.lit(float(n == own)) for n in self.in_flags}) if self.in_flags else p for p, own in zip(parts, names)]
             return concatenate(parts)
         keys = [_column(parts[0], k) for k, _ in self.by]
+        if node[0] == "update":
+            if len(parts) != 2:
+                raise StepError("UPDATE takes a master and a table of changes")
+            return update_by(*parts, keys, self.order_by)
         out, flags = parts[0], {names[0]: F.lit(1.0)} if names[0] else {}
         if flags:
             out = out.withColumns(flags)
@@ -199,7 +224,13 @@ class _Plan:
             getattr(self, "do_" + node[0], self.skip)(node, guard)
 
     def skip(self, node, guard) -> None:
-        pass
+        """Declarations that change no value are passed over; any other statement without a plan is a problem."""
+        if node[0] in ("set", "merge", "update", "by", "datalines", "input"):
+            return
+        said = node[1] if isinstance(node[1], str) else " ".join([node[0], *node[1]])
+        if node[0] == "ignored" and (not said or said.split()[0].lower() in DECLARATIONS):
+            return
+        self.do_problem(("problem", said, "the statement has no plan"), guard)
 
     def do_problem(self, node, guard) -> None:
         self.problems.append(f"{node[2]}: {node[1]}")
@@ -249,6 +280,46 @@ class _Plan:
 
     def do_retain(self, node, guard) -> None:
         self.retained |= {n.lower(): v for n, v in node[1]}
+        every = list(_walk(self.step.body))
+        sums = {n[1].lower() for n in every if n[0] == "sum"}
+        for name, start in node[1]:
+            if name.lower() in sums or name.lower() in {c.lower() for c in self.df.columns}:
+                continue
+            value = F.lit(start[1]) if start and start[0] in ("num", "str") else None
+            if any(n[0] == "assign" and n[1].lower() == name.lower() for n in every):
+                self.carry(name, value)
+            elif value is not None:
+                self.df = self.df.withColumn(name, value)
+
+    def carry(self, name: str, start: Column | None) -> None:
+        """A retained field as each row finds it: what the last row before that assigned it left there, or its first value.
+
+        What a row assigns must not depend on what it finds, and no row may end
+        before it assigns; such a step would have to run row by row.
+        """
+        low, body = name.lower(), self.step.body
+        at = max(k for k, n in enumerate(body) if any(m[0] == "assign" and m[1].lower() == low for m in _walk([n])))
+        until = body[:at + 1]
+        reads, grown = {low}, True
+        while grown:  # fields that depend on what the row finds
+            more = {m[1].lower() for m, under in _guarded(until) if m[0] in ("assign", "sum") and reads & _names([m[2], *under])} - {low}
+            grown, reads = bool(more - reads), reads | more
+        circular = any(m[0] == "assign" and m[1].lower() == low and reads & _names([m[2], *under]) for m, under in _guarded(until))
+        if circular or any(m[0] in ("subset", "delete", "output", "loop") for m in _walk(until)):
+            return self.do_problem(("problem", f"retain {name}", "the retained field needs the rows one after another"), None)
+        sub = _Plan(self.step, self.tables, self.order_by, self.strict, [])
+        sub.df, sub.retained = self.df.withColumn("__row", F.struct(*[F.col(f"`{c}`") for c in self.df.columns])), dict(self.retained)
+        sub.df = sub.df.withColumn("__set", F.lit(0.0))
+        sub.block([n for n in _marked(until, low) if n[0] != "retain"])
+        self._order()
+        if any(d for _, d in self.by):
+            raise StepError("a retained field over descending keys")
+        order = [_column(self.df, k) for k, _ in self.by] + [c for c in self.order_by if c.lower() not in {k.lower() for k, _ in self.by}]
+        rows = sub.df.select("__row.*", F.col(_column(sub.df, name)).alias("__new"), (F.col("__set") == 1).alias("__has"))
+        rows = carried(rows, F.col("__new"), F.col("__has"), order, "__found").drop("__has")
+        kind = rows.schema["__new"].dataType
+        first = start.cast(kind) if start is not None else F.lit(None).cast(kind)
+        self.df = rows.drop("__new").withColumn(name, F.when(F.col("__found").isNull(), first).otherwise(F.col("__found.v"))).drop("__found")
 
     def do_sum(self, node, guard) -> None:
         """x + y: a running sum, from the last FIRST. reset on where there is one."""
@@ -324,6 +395,33 @@ def _walk(body):
             yield from _walk(n[5])
 
 
+def _guarded(body, under=()):
+    """(statement, conditions it stands under) of a body."""
+    for n in body:
+        yield n, under
+        if n[0] == "if":
+            yield from _guarded(n[2], (*under, n[1]))
+            yield from _guarded(n[3], (*under, n[1]))
+        elif n[0] == "loop":
+            yield from _guarded(n[5], under)
+
+
+def _names(trees) -> set[str]:
+    return {n.lower() for t in trees if t is not None for n, _ in E.references(t)}
+
+
+def _marked(body, name: str) -> list:
+    """The body with __set = 1 behind each assignment of a field."""
+    out: list = []
+    for n in body:
+        if n[0] == "if":
+            n = (n[0], n[1], _marked(n[2], name), _marked(n[3], name), *n[4:])
+        out.append(n)
+        if n[0] == "assign" and n[1].lower() == name:
+            out.append(("assign", "__set", ("num", 1.0), "1"))
+    return out
+
+
 def _holds(body, kind: str) -> bool:
     return any(n[0] == kind for n in _walk(body))
 
@@ -441,7 +539,7 @@ def run_step(step: Step, tables: Tables, order_by: list[str] | None = None, stri
     if spark is None:
         spark = next(iter(tables.values())).sparkSession
     plan.df = plan.source(spark)
-    if not any(n[0] in ("set", "merge", "datalines") for n in step.body):
+    if not any(n[0] in ("set", "merge", "update", "datalines") for n in step.body):
         plan.df = spark.range(1).select()
     plan.block(step.body)
     return plan.results()

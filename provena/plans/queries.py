@@ -143,20 +143,26 @@ def _order_totals(spark, sf_dir) -> DataFrame:
     return table(spark, sf_dir, "orders").groupBy(F.col("o_custkey").alias("k")).agg(F.count("*").alias("n"), F.sum("o_totalprice").alias("total"))
 
 
-def _merged(spark, sf_dir, rest: str) -> DataFrame:
+def _user_totals(spark, sf_dir) -> DataFrame:
+    return table(spark, sf_dir, "events").groupBy(F.col("user_id").alias("k")).agg(F.count("*").alias("n"))
+
+
+def _merged(spark, sf_dir, totals: DataFrame, rest: str) -> DataFrame:
     c = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("k"), "c_name")
     code = f"data t; merge c (in=a) o (in=b); by k; {rest} keep k c_name n; run;"
-    return run_program(code, {"c": c, "o": _order_totals(spark, sf_dir).select("k", "n")}, strict=True)["t"]
+    return run_program(code, {"c": c, "o": totals.select("k", "n")}, strict=True)["t"]
 
 
 @query(f"SELECT coalesce(c.c_custkey, o.k) AS k, c_name, n FROM customer c FULL JOIN ({_ORD}) o ON c.c_custkey = o.k")
 def merge_full(spark, sf_dir):
-    return _merged(spark, sf_dir, "")
+    return _merged(spark, sf_dir, _order_totals(spark, sf_dir), "")
 
 
-@query(f"SELECT c.c_custkey AS k, c_name, n FROM customer c LEFT JOIN ({_ORD}) o ON c.c_custkey = o.k WHERE o.k IS NULL")
+@query("""SELECT coalesce(c.c_custkey, o.k) AS k, c_name, n FROM customer c FULL JOIN (SELECT user_id AS k, count(*) AS n FROM events GROUP BY 1) o ON c.c_custkey = o.k
+WHERE c.c_custkey IS NULL OR o.k IS NULL""")
 def merge_in_flags(spark, sf_dir):
-    return _merged(spark, sf_dir, "if a and not b;")
+    """Customers without events and users that are no customers."""
+    return _merged(spark, sf_dir, _user_totals(spark, sf_dir), "if not (a and b);")
 
 
 @query("""WITH a AS (SELECT o_custkey AS k, o_orderkey AS x, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) AS p FROM orders),
@@ -239,6 +245,68 @@ def value_trace_lines(spark, sf_dir):
     return value_trace(_catalog(spark), "pipeline", "report.total_due", rows, ["l_orderkey", "l_linenumber"]).drop("expr", "value_text")
 
 
+@query("SELECT p_partkey, p_retailprice * 2 AS x, CAST(2 AS DOUBLE) AS y, p_size + 1.0 AS z FROM part")
+def macro_inline_call(spark, sf_dir):
+    """Calls inside statements: the semicolon behind them ends the statement."""
+    code = """%macro twice(x); &x * 2 %mend; %macro step(name); data &name; set part; x = %twice(p_retailprice); y = 2; z = %unknown(3) p_size + 1; keep p_partkey x y z; run; %mend;
+    %step(t);"""
+    return run_program(code, {"part": table(spark, sf_dir, "part")}, strict=True, expand_macros=True)["t"]
+
+
+@query("""SELECT r_regionkey, upper('aBc') AS upcase, lower('aBc') AS lowcase, CAST(length('abcde') AS DOUBLE) AS len, substr('abcdef', 2, 3) AS sub, split_part('one two three', ' ', 2) AS scan,
+CAST(strpos('abcabc', 'ca') AS DOUBLE) AS ind, CAST(7 // 2 AS DOUBLE) AS ev, CAST(7 / 2 AS DOUBLE) AS sysev, trim('  ab  ') || '|' AS trimmed, regexp_replace('a   b    c', ' +', ' ', 'g') AS cmpres,
+concat('a', 'b', 'c') AS cats, concat_ws('-', 'a', 'b', 'c') AS catx, CAST(greatest(3, 9, 4) AS DOUBLE) AS most, CAST(least(3, 9, 4) AS DOUBLE) AS least_of, repeat('ab', 3) AS rep,
+translate('abc', 'a', 'x') AS trans, replace('one two one', 'one', '1') AS tranwrd, reverse('abc') AS rev, CAST(length(regexp_extract('aab1', '^[ab]*')) + 1 AS DOUBLE) AS ver,
+sqrt(16.0) AS root, ceil(1.2) AS up, floor(1.8) AS down, CAST(strpos('hello', 'l') AS DOUBLE) AS indc, replace('a b c', ' ', '') AS compress, ltrim('  ab') AS lefted,
+CAST(len(string_split('a b c', ' ')) AS DOUBLE) AS words, 'a,b' AS quoted, CAST(3 + 4 AS DOUBLE) AS symget FROM region""")
+def macro_functions(spark, sf_dir):
+    """The macro functions, each beside the SQL function that does the same."""
+    code = """%let n = 3; data t; set region; upcase = "%upcase(aBc)"; lowcase = "%lowcase(aBc)"; len = %length(abcde); sub = "%substr(abcdef, 2, 3)"; scan = "%scan(one two three, 2)";
+    ind = %index(abcabc, ca); ev = %eval(7 / 2); sysev = %sysevalf(7 / 2); trimmed = "%trim(  ab  )|"; cmpres = "%cmpres(a   b    c)"; cats = "%cats(a, b, c)"; catx = "%catx(-, a, b, c)";
+    most = %max(3, 9, 4); least_of = %min(3, 9, 4); rep = "%repeat(ab, 2)"; trans = "%translate(abc, x, a)"; tranwrd = "%tranwrd(one two one, one, 1)"; rev = "%reverse(abc)"; ver = %verify(aab1, ab);
+    root = %sqrt(16); up = %ceil(1.2); down = %floor(1.8); indc = %indexc(hello, xyzl); compress = "%compress(a b c)"; lefted = "%left(  ab)"; words = %sysfunc(countw(a b c)); quoted = "%str(a,b)";
+    symget = %symget(n) + 4; drop r_name; run;"""
+    return run_program(code, {"region": table(spark, sf_dir, "region")}, strict=True, expand_macros=True)["t"]
+
+
+@query("""WITH a AS (SELECT nullif(n_regionkey, 2) AS k, n_nationkey AS x, row_number() OVER (PARTITION BY nullif(n_regionkey, 2) ORDER BY n_nationkey) AS p FROM nation),
+b AS (SELECT nullif(r_regionkey, 2) AS k, r_name AS name FROM region) SELECT a.k, a.x, b.name FROM a LEFT JOIN b ON a.k IS NOT DISTINCT FROM b.k""")
+def merge_null_keys(spark, sf_dir):
+    """A missing key merges with a missing key."""
+    key = lambda c: F.nullif(F.col(c), F.lit(2)).alias("k")
+    a = table(spark, sf_dir, "nation").select(key("n_regionkey"), F.col("n_nationkey").alias("x"))
+    b = table(spark, sf_dir, "region").select(key("r_regionkey"), F.col("r_name").alias("name"))
+    return run_program("data t; merge a (in=here) b; by k; if here; run;", {"a": a, "b": b}, order_by=["x"], strict=True)["t"]
+
+
+@query("""WITH m AS (SELECT c_custkey AS k, c_acctbal AS v, c_name AS name FROM customer), t AS (SELECT o_custkey AS k, arg_max(o_totalprice, o_orderkey) FILTER (WHERE o_orderstatus = 'F') AS v FROM orders GROUP BY 1)
+SELECT coalesce(m.k, t.k) AS k, coalesce(t.v, m.v) AS v, name FROM m FULL JOIN t ON m.k = t.k""")
+def update_missing_keeps(spark, sf_dir):
+    """UPDATE: the last change that is not missing counts, others leave the master's value."""
+    m = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("k"), F.col("c_acctbal").alias("v"), F.col("c_name").alias("name"))
+    t = table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("k"), F.when(F.col("o_orderstatus") == "F", F.col("o_totalprice")).alias("v"), "o_orderkey")
+    return run_program("data u; update m t; by k; keep k v name; run;", {"m": m, "t": t}, order_by=["o_orderkey"], strict=True)["u"]
+
+
+@query("""SELECT event_id, coalesce(last_value(CASE WHEN value > 50 THEN value END IGNORE NULLS) OVER (ORDER BY event_id ROWS UNBOUNDED PRECEDING), -1) AS peak FROM events""")
+def retain_carry(spark, sf_dir):
+    """RETAIN carries a value that only some rows assign, over the whole table, without one task that sees all rows."""
+    return _run(spark, sf_dir, "data t; set events; retain peak -1; if value > 50 then peak = value; keep event_id peak; run;", "t", "events", order_by=["event_id"])
+
+
+@query("SELECT event_id, lag(value, 4) OVER (ORDER BY event_id) AS before, sum(coalesce(floor(value), 0)) OVER (ORDER BY event_id ROWS UNBOUNDED PRECEDING) AS total FROM events")
+def lag_and_sum_step(spark, sf_dir):
+    """LAG4 and a sum statement in a DATA step."""
+    return _run(spark, sf_dir, "data t; set events; before = LAG4(value); whole = FLOOR(value); total + whole; keep event_id before total; run;", "t", "events", order_by=["event_id"])
+
+
+@query("SELECT o_orderkey, CASE o_orderstatus WHEN 'F' THEN 1.0 WHEN 'O' THEN 2.0 ELSE 0.0 END AS code, CASE WHEN o_totalprice < 1000 THEN 'low' WHEN o_totalprice < 100000 THEN 'mid' ELSE 'top' END AS band FROM orders")
+def select_when(spark, sf_dir):
+    code = """data t; set orders; select (o_orderstatus); when ('F') code = 1; when ('O') code = 2; otherwise code = 0; end;
+    select; when (o_totalprice < 1000) band = 'low'; when (o_totalprice < 100000) band = 'mid'; otherwise band = 'top'; end; keep o_orderkey code band; run;"""
+    return _run(spark, sf_dir, code, "t", "orders")
+
+
 # --- lineage of the demonstration program ------------------------------------------
 
 

@@ -8,10 +8,10 @@ from pyspark.sql import types as T
 
 
 def read_programs(spark: SparkSession, *paths: str, glob: str = "*.sas") -> DataFrame:
-    """(program_id, path, code) of every program file under the paths, each file once."""
+    """(program_id, path, code) of every program file under the paths, each file once; a program's id is its path, for base names recur."""
     files = spark.read.format("binaryFile").option("pathGlobFilter", glob).option("recursiveFileLookup", True).load(list(paths))
     return files.dropDuplicates(["path"]).select(
-        F.regexp_extract("path", r"([^/]+)$", 1).alias("program_id"), "path", F.decode("content", "UTF-8").alias("code")
+        F.col("path").alias("program_id"), "path", F.decode("content", "UTF-8").alias("code")
     )
 
 

@@ -12,7 +12,7 @@ from provena.operators.catalog import Catalog, parse_programs
 def arriving(spark: SparkSession, folder: str, expand_macros: bool = False) -> DataFrame:
     """A stream of parsed programs, one row for each new file of the folder."""
     files = spark.readStream.format("text").option("wholetext", True).option("pathGlobFilter", "*.sas").load(folder)
-    named = files.select(F.regexp_extract(F.input_file_name(), r"([^/]+)$", 1).alias("program_id"), F.input_file_name().alias("path"), F.col("value").alias("code"))
+    named = files.select(F.input_file_name().alias("program_id"), F.input_file_name().alias("path"), F.col("value").alias("code"))
     return parse_programs(named, expand_macros)
 
 

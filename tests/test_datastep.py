@@ -46,6 +46,61 @@ def test_match_merge_repeats_last_row(spark):
     assert rows(match_merge(a, b, ["k"]).select("k", "x", "y")) == [(1, "p", 10), (1, "q", 10), (2, "r", None), (3, None, 30)]
 
 
+def test_match_merge_of_null_keys(spark):
+    a = spark.createDataFrame([(None, "p"), (2, "r")], "k int, x string")
+    b = spark.createDataFrame([(None, 10), (None, 11), (3, 30)], "k int, y int")
+    got = match_merge(a, b, ["k"]).select("k", "x", "y", "__in_a", "__in_b")
+    assert rows(got) == rows(spark.createDataFrame([(None, "p", 10, True, True), (None, "p", 11, True, True), (2, "r", None, True, False), (3, None, 30, False, True)], "k int, x string, y int, a boolean, b boolean"))
+
+
+def test_update_keeps_what_a_change_lacks(spark):
+    m = spark.createDataFrame([(1, 10.0, "a"), (2, 20.0, "b"), (None, 5.0, "n")], "k int, v double, s string")
+    c = spark.createDataFrame([(1, 1, None, "x"), (1, 2, 11.0, None), (3, 1, 30.0, None), (None, 1, 6.0, None)], "k int, o int, v double, s string")
+    out = run_program("data t; update m c; by k; drop o; run;", {"m": m, "c": c}, order_by=["o"], strict=True)["t"]
+    assert rows(out.select("k", "v", "s")) == rows(spark.createDataFrame([(1, 11.0, "x"), (2, 20.0, "b"), (3, 30.0, None), (None, 6.0, "n")], "k int, v double, s string"))
+
+
+def test_retained_values_are_carried(spark):
+    values = [None, 3.0, -1.0, None, 7.0, -2.0, 0.5] * 5
+    df = spark.createDataFrame(list(enumerate(values)), "o int, v double").repartition(5)
+    out = run_program("data t; set d; retain c 9 k 4; before = c; if v > 0 then c = v; after = c + k; run;", {"d": df}, order_by=["o"], strict=True)["t"]
+    want, c = [], 9.0
+    for o, v in enumerate(values):
+        before = c
+        c = v if v is not None and v > 0 else c
+        want.append((o, before, c, c + 4))
+    assert rows(out.select("o", "before", "c", "after")) == sorted(want, key=repr)
+    with pytest.raises(StepError):  # each row needs the one before
+        run_program("data t; set d; retain c 1; c = c * 2; run;", {"d": df}, order_by=["o"], strict=True)
+    problems = []
+    run_program("data t; set d; retain c 1; c = c * 2; run;", {"d": df}, order_by=["o"], problems=problems)
+    assert problems
+
+
+def test_select_is_a_chain_of_conditions(spark):
+    df = spark.createDataFrame([(1.0,), (2.0,), (3.0,), (9.0,)], "x double")
+    code = "data t; set d; select (x); when (1) y = 10; when (2, 3) do; y = 20; z = 1; end; otherwise y = 0; end; run;"
+    assert rows(run_program(code, {"d": df}, strict=True)["t"].select("x", "y")) == [(1.0, 10.0), (2.0, 20.0), (3.0, 20.0), (9.0, 0.0)]
+    code = "data t; set d; select; when (x < 2) y = 1; when (x < 4) y = 2; otherwise; end; run;"
+    assert rows(run_program(code, {"d": df}, strict=True)["t"]) == rows(spark.createDataFrame([(1.0, 1.0), (2.0, 2.0), (3.0, 2.0), (9.0, None)], "x double, y double"))
+
+
+@pytest.mark.parametrize("statement", ["stop", "call missing(x)", "array a{2} x y", "frobnicate x"])
+def test_statements_without_a_plan_are_refused_or_reported(spark, statement):
+    df, problems = spark.createDataFrame([(1.0,)], "x double"), []
+    with pytest.raises(StepError):
+        run_program(f"data t; set d; {statement}; y = x; run;", {"d": df}, strict=True)
+    run_program(f"data t; set d; {statement}; y = x; run;", {"d": df}, problems=problems)
+    assert problems
+
+
+def test_lags_look_behind_short_ranges(spark):
+    values = [None if k % 3 == 0 else float(k) for k in range(11)]
+    df = spark.createDataFrame(list(enumerate(values)), "o int, v double")
+    for n in (1, 4, 12):
+        assert [r["l"] for r in lagged(df, "v", n, ["o"], "l").orderBy("o").collect()] == ([None] * n + values)[:11]
+
+
 def test_retained_sums_and_flags(spark):
     df = spark.createDataFrame([("a", 1, 2.0), ("a", 2, 3.0), ("b", 1, 5.0)], "k string, o int, v double")
     code = "data t; set d; by k; retain s 0; if first.k then s = 0; s + v; if last.k; keep k s; run;"

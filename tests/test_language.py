@@ -122,3 +122,9 @@ def test_include_stays_in_its_folder(tmp_path):
     assert outputs(code, include_base=tmp_path) == ["top", "b"]
     assert outputs(code, expand_macros=True) == ["top"]
     assert outputs('%include "../part.sas";', include_base=tmp_path) == []
+
+
+def test_a_call_inside_a_statement_leaves_its_semicolon():
+    code = "%macro dbl(x); &x*2 %mend; data t; x=%dbl(3); y=2; z=%unknown(3); w=4; run;"
+    assert [(f.name, f.expression.replace(" ", "")) for f in parse(expand(code)).data_steps[0].fields if f.name in "xyw"] == [("x", "3*2"), ("y", "2"), ("w", "4")]
+    assert "; ;" not in expand("%macro m; data t; x = 1; run; %mend; %m; data u; y = 2; run;")

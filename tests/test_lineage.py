@@ -82,10 +82,27 @@ def test_files_are_read_once(spark, tmp_path):
     (tmp_path / "a.sas").write_text("data a; x = 1; run;")
     (tmp_path / "sub" / "b.sas").write_text("data b; set a; y = x; run;")
     (tmp_path / "c.txt").write_text("no program")
-    assert [r["program_id"] for r in read_programs(spark, str(tmp_path)).orderBy("program_id").collect()] == ["a.sas", "b.sas"]
+    found = read_programs(spark, str(tmp_path)).orderBy("program_id").collect()
+    assert [r["program_id"].rsplit("/", 1)[1] for r in found] == ["a.sas", "b.sas"] and all(r["program_id"] == r["path"] for r in found)
 
 
-def test_graphs_against_plain_python(spark):
+def test_programs_of_one_name_stay_apart(spark, tmp_path):
+    for k, code in (("p", "data t; set s; x = p; run;"), ("q", "data t; set s; x = q; run;")):
+        (tmp_path / k).mkdir()
+        (tmp_path / k / "same.sas").write_text(code)
+    got = Catalog.of(read_programs(spark, str(tmp_path))).edges.select("program_id", "src", "formula").collect()
+    assert sorted((r["program_id"].split("/")[-2], r["src"], r["formula"]) for r in got) == [("p", "s.p", "x = p"), ("q", "s.q", "x = q")]
+
+
+def test_programs_that_cannot_be_expanded_say_so(spark):
+    code = "%macro m; %do i = 1 %to 2500; data t&i; x = &i; run; %end; %mend; %m;"
+    got = Catalog.of(programs(spark, {"long": code, "fine": "%let a = 1; data t; x = &a; run;"}), expand_macros=True).programs.collect()
+    assert {r["program_id"]: (r["status"], r["error"] is None) for r in got} == {"long": ("NOT_EXPANDED", False), "fine": ("OK", True)}
+
+
+@pytest.mark.parametrize("grouped", [4000, 0])
+def test_graphs_against_plain_python(spark, monkeypatch, grouped):
+    monkeypatch.setattr(graph, "GROUPED", grouped)  # 0: all programs level by level
     rng = random.Random(4)
     edges = {(f"n{rng.randrange(12)}", f"n{rng.randrange(12)}") for _ in range(22)}
     df = spark.createDataFrame([("g", a, b) for a, b in edges], "program_id string, src string, dst string")

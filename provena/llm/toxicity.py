@@ -8,7 +8,8 @@ length are scored by looking up the words that bear a weight.
 
 Null and empty texts get the score of a text without weighted words; repeated
 rows get equal scores; without labelled rows of both kinds every score is the
-label's smoothed rate.
+label's smoothed rate; an empty table has no scores.  Rows of a null id are scored
+and never fitted.  Only the id and the text are read, whatever other columns are called.
 """
 
 from __future__ import annotations
@@ -25,7 +26,8 @@ from provena.llm.textarrays import LOWER, chunks, hash_spans, ship, signed, tidy
 
 #: Names of groups, swapped within a line.
 IDENTITY_TERMS = [
-    ["women", "men", "girls", "boys"],
+    ["women", "men", "girls", "boys"], ["woman", "man", "girl", "boy"],
+    ["muslim", "christian", "jewish", "hindu", "buddhist", "atheist"], ["immigrant", "refugee", "foreigner", "native"],
     ["muslims", "christians", "jews", "hindus", "buddhists", "atheists"],
     ["gay", "straight", "lesbian", "bisexual", "transgender"],
     ["black", "white", "asian", "latino", "african", "european"],
@@ -86,40 +88,65 @@ def _document_counts(batches):
             yield pa.RecordBatch.from_arrays([pa.array(signed(u)), pa.array(pos), pa.array(n - pos)], ["f", "pos", "neg"])
 
 
-def _swaps(text: str, at: dict, most: int = 4):
+def _swaps(text: str, at: dict, terms: list):
     """Feature changes of the sentences of a text that name a group, for each swap of the name."""
     for sentence in re.split(r"[.!?\n]", text):
         low = sentence.lower()
-        for line in IDENTITY_TERMS:
+        for line in terms:
             for k, term in enumerate(line):
-                if not re.search(rf"\b{term}\b", low):
+                if not re.search(rf"\b{re.escape(term)}\b", low):
                     continue
                 was = text_features(low)
-                for other in (line[k + 1:] + line[:k])[:most]:
-                    now = text_features(re.sub(rf"\b{term}\b", other, low))
+                for other in line[k + 1:] + line[:k]:
+                    now = text_features(re.sub(rf"\b{re.escape(term)}\b", other, low))
                     yield sorted((at[f], 1.0 if f in now else -1.0) for f in was ^ now if f in at)
 
 
-def _rows(batches, vocabulary: np.ndarray):
-    """The features of the vocabulary that a document holds, and the changes by swaps as flat triples."""
+def _swap_products(batches, vocabulary: np.ndarray, terms: list):
+    """Sums over a batch of the products of two features' changes by a swap, as (i, j, v) with i <= j; (-1, -1, number of swaps)."""
     at = {int(f): i for i, f in enumerate(vocabulary)}
-    term = re.compile("|".join(t for line in IDENTITY_TERMS for t in line))
+    named = re.compile("|".join(re.escape(t) for line in terms for t in line) or "$^")
+    for batch in batches:
+        sums: dict = {}
+        for text in batch.column("t").to_pylist():
+            if not text or not named.search(text.lower()):
+                continue
+            for changed in _swaps(text, at, terms):
+                sums[-1, -1] = sums.get((-1, -1), 0.0) + 1.0
+                for k, (i, u) in enumerate(changed):
+                    for j, v in changed[k:]:
+                        sums[i, j] = sums.get((i, j), 0.0) + u * v
+        yield pa.RecordBatch.from_arrays([pa.array([k[c] for k in sums], pa.int32()) for c in (0, 1)] + [pa.array(list(sums.values()), pa.float64())], ["i", "j", "v"])
+
+
+def _changes(products: list, width: int) -> tuple[np.ndarray, int]:
+    """(rows whose mean squared score change is that of all swaps, number of swaps): a root of the sums of products."""
+    n = sum(v for i, _, v in products if i < 0)
+    own = sorted({k for i, j, _ in products if i >= 0 for k in (i, j)})
+    if not n or not own:
+        return np.zeros((0, width), np.float32), int(n)
+    place = {k: x for x, k in enumerate(own)}
+    gram = np.zeros((len(own), len(own)))
+    for i, j, v in products:
+        if i >= 0:
+            gram[place[i], place[j]] = gram[place[j], place[i]] = v
+    size, direction = np.linalg.eigh(gram)
+    rows = np.zeros((len(own), width), np.float32)
+    rows[:, own] = np.sqrt(np.maximum(size, 0) * len(own) / n)[:, None] * direction.T
+    return rows, int(n)
+
+
+def _rows(batches, vocabulary: np.ndarray):
+    """The features of the vocabulary that a document holds."""
     for batch in batches:
         data, offsets = utf8(batch.column("t"))
-        found, swaps = [], []
         for i, j in chunks(offsets):
-            part, o = data[offsets[i]:offsets[j]], offsets[i:j + 1] - offsets[i]
-            h, doc = held(*features(part, o))
+            h, doc = held(*features(data[offsets[i]:offsets[j]], offsets[i:j + 1] - offsets[i]))
             pos = np.minimum(np.searchsorted(vocabulary, h), len(vocabulary) - 1)
             hit = np.flatnonzero(vocabulary[pos] == h)
             hit = hit[np.argsort(doc[hit], kind="stable")]
-            found += np.split(pos[hit].astype(np.int32), np.searchsorted(doc[hit], np.arange(1, j - i)))
-            for k in range(j - i):
-                text = part[o[k]:o[k + 1]].tobytes().decode("utf-8", "replace")
-                swaps.append([[float(c), float(f), v] for c, s in enumerate(_swaps(text, at)) for f, v in s] if term.search(text.lower()) else [])
-        yield pa.RecordBatch.from_arrays(
-            [batch.column("y"), pa.array(found, pa.list_(pa.int32())), pa.array(swaps, pa.list_(pa.list_(pa.float64())))], ["y", "held", "swaps"]
-        )
+            found = np.split(pos[hit].astype(np.int32), np.searchsorted(doc[hit], np.arange(1, j - i)))
+            yield pa.RecordBatch.from_arrays([batch.column("y").slice(i, j - i), pa.array(found, pa.list_(pa.int32()))], ["y", "held"])
 
 
 def fit_weights(y: np.ndarray, x: np.ndarray, changes: np.ndarray, l1: float, fairness: float, steps: int = 400):
@@ -158,36 +185,36 @@ def fit_weights(y: np.ndarray, x: np.ndarray, changes: np.ndarray, l1: float, fa
 
 
 def fit(df: DataFrame, labels: DataFrame, label: str = "toxic", keep: Column | None = None, id_col: str = "doc_id", text_col: str = "text",
-        rows: int = 6000, vocabulary: int = 2048, l1: float = 1e-3, fairness: float = 5.0) -> dict:
-    """A model fitted on at most `rows` labelled documents: hashes, weights, intercept."""
+        rows: int = 6000, vocabulary: int = 2048, l1: float = 1e-3, fairness: float = 5.0, terms: list | None = None) -> dict:
+    """A model fitted on at most `rows` labelled documents, all their swaps: hashes, weights, intercept, and how many swaps it was held to.
+
+    `terms` are lists of names that may stand for one another; only names that labelled
+    sentences hold are swapped, so that on texts without any the penalty has nothing to do.
+    """
+    terms = IDENTITY_TERMS if terms is None else terms
     ship(df.sparkSession)
     chosen = sample(df, labels, label, rows, id_col, text_col, keep).select(F.col(text_col).alias("t"), "y")
-    counts = chosen.mapInArrow(_document_counts, "f long, pos long, neg long").groupBy("f").agg(F.sum("pos").alias("pos"), F.sum("neg").alias("neg"))
+    counts = chosen.mapInArrow(lambda it: tidy(_document_counts(it)), "f long, pos long, neg long").groupBy("f").agg(F.sum("pos").alias("pos"), F.sum("neg").alias("neg"))
     total = chosen.groupBy("y").count().collect()
     n = {r["y"]: r["count"] for r in total}
     n1, n0 = n.get(1, 0), n.get(0, 0)
     if not n1 or not n0:
-        return {"hash": np.zeros(0, np.uint64), "weight": np.zeros(0), "bias": float(np.log((n1 + 0.5) / (n0 + 0.5)))}
+        return {"hash": np.zeros(0, np.uint64), "weight": np.zeros(0), "bias": float(np.log((n1 + 0.5) / (n0 + 0.5))), "swaps": 0}
     p1, p0 = F.col("pos") / n1, F.col("neg") / n0
     p = (F.col("pos") + F.col("neg")) / (n1 + n0)
     z = F.abs(p1 - p0) / F.sqrt(p * (1 - p) * (1 / n1 + 1 / n0) + 1e-6)
     top = counts.where(F.col("pos") + F.col("neg") >= 4).orderBy(F.desc(z), "f").limit(vocabulary).select("f").collect()
-    own = {f for line in IDENTITY_TERMS for t in line for f in text_features(t)}
+    own = {f for line in terms for t in line for f in text_features(t)}
     words = np.unique(np.concatenate([np.array([r["f"] for r in top], np.int64).view(np.uint64), np.array(sorted(own), np.uint64)]))
-    got = chosen.mapInArrow(lambda it: _rows(it, words), "y int, held array<int>, swaps array<array<double>>").toPandas()
+    got = chosen.mapInArrow(lambda it: tidy(_rows(it, words)), "y int, held array<int>").toPandas()
     x = np.zeros((len(got), len(words)), np.float32)
     for i, h in enumerate(got["held"]):
         x[i, np.asarray(h, np.int64)] = 1
-    triples = [np.array([list(t) for t in s]) for s in got["swaps"] if len(s)]
-    changes = []
-    for s in triples:
-        for c in np.unique(s[:, 0]):
-            row = np.zeros(len(words), np.float32)
-            row[s[s[:, 0] == c, 1].astype(int)] = s[s[:, 0] == c, 2]
-            changes.append(row)
-    w, b = fit_weights(got["y"].to_numpy(float), x, np.array(changes, np.float32).reshape(len(changes), len(words)), l1, fairness)
+    products = chosen.select("t").mapInArrow(lambda it: tidy(_swap_products(it, words, terms)), "i int, j int, v double")
+    changes, swaps = _changes([tuple(r) for r in products.groupBy("i", "j").agg(F.sum("v").alias("v")).collect()], len(words))
+    w, b = fit_weights(got["y"].to_numpy(float), x, changes, l1, fairness)
     kept = w != 0
-    return {"hash": words[kept], "weight": w[kept], "bias": b}
+    return {"hash": words[kept], "weight": w[kept], "bias": b, "swaps": swaps}
 
 
 def score_texts(model: dict, data: np.ndarray, offsets: np.ndarray) -> np.ndarray:

@@ -265,6 +265,43 @@ def test_counterfactual_penalty_pulls_weights_together():
     assert abs(tied[1]) < 0.2 * abs(free[1]) + 0.05 and tied[0] > 1
 
 
+def test_swaps_are_summed_as_they_are():
+    """The root that the fit gets has the mean squared score change of all swaps."""
+    import pyarrow as pa
+
+    texts = ["Some women are here. All men came.", "no group", "a muslim woman. Women!", None]
+    known = np.unique(np.array(sorted({f for t in texts if t for s in re.split("[.!]", t.lower()) for w in ("women", "men", "woman", "man", "girls", "christian") for f in toxicity.text_features(s + w)}), np.uint64))
+    rows = {}
+    for b in toxicity._swap_products([pa.record_batch({"t": pa.array(texts)})], known, toxicity.IDENTITY_TERMS):
+        for i, j, v in zip(*(c.to_pylist() for c in b.columns)):
+            rows[i, j] = rows.get((i, j), 0) + v
+    changes, n = toxicity._changes([(i, j, v) for (i, j), v in rows.items()], len(known))
+    at, w = {int(f): i for i, f in enumerate(known)}, np.random.default_rng(1).normal(size=len(known))
+    each = [sum(v * w[f] for f, v in swap) for t in texts if t for swap in toxicity._swaps(t, at, toxicity.IDENTITY_TERMS)]
+    assert n == len(each) == 17 and np.mean((changes @ w) ** 2) == pytest.approx(np.mean(np.square(each)), rel=1e-4)
+
+
+def test_penalty_equals_brute_force_descent():
+    """FISTA's weights are no worse than those of many small plain proximal steps on the same loss."""
+    rng = np.random.default_rng(4)
+    y, x = rng.integers(0, 2, 120).astype(float), (rng.random((120, 6)) < 0.4).astype(np.float32)
+    x[:, 0] = np.where(rng.random(120) < 0.85, y, x[:, 0])
+    changes = rng.normal(size=(30, 6)).astype(np.float32)
+    share = y.mean()
+    weight = np.sqrt(np.where(y > 0, 0.5 / share, 0.5 / (1 - share)))
+
+    def loss(w, b):
+        z = x @ w + b
+        return (weight * (np.logaddexp(0, z) - y * z)).mean() + 1e-2 * np.abs(w).sum() + 0.5 * ((changes @ w) ** 2).mean()
+
+    w, b = np.zeros(6), 0.0
+    for _ in range(6000):
+        g = weight * (1 / (1 + np.exp(-(x @ w + b))) - y) / len(y)
+        w = w - 0.05 * (x.T @ g + changes.T @ (changes @ w) / len(changes))
+        w, b = np.sign(w) * np.maximum(np.abs(w) - 0.05 * 1e-2, 0), b - 0.05 * g.sum()
+    assert loss(*toxicity.fit_weights(y, x, changes, 1e-2, 0.5)) <= loss(w, b) + 1e-5
+
+
 def test_mil_quality(spark):
     rng, voc = random.Random(6), vocabulary(6)
     texts, labels = {}, []
@@ -413,6 +450,30 @@ def test_language_model(spark, corpus):
     assert sum(r["score"] for r in got.values()) > sum(r["base_score"] for r in got.values())
 
 
+def test_language_model_score_equals_brute_force(spark):
+    """With a filter wide enough to err nowhere, the score is the formula's on quantised counts."""
+    rng, voc = random.Random(12), vocabulary(12, 60)
+    texts = {k: " ".join(rng.choice(voc) for _ in range(rng.randint(0, 40))) for k in range(60)} | {60: None, 61: "", 62: "Never Seen words"}
+    df = frame(spark, texts)
+    model = bloom_lm.fit(df.where("doc_id < 50"), frequent=20, bits_per_entry=400.0, probes=6)
+    base, share = model["base"], 0.7
+    count, pairs = collections.Counter(), collections.Counter()
+    for k in range(50):
+        t = [*words(texts[k]), None]
+        count.update(t)
+        pairs.update(zip([None, *t[:-1]], t))
+    total, distinct = sum(count.values()), len(count)
+    p = lambda w: (count[w] + 0.5) / (total + 0.5 * (distinct + 1))
+    for r in bloom_lm.score(df, model).collect():
+        t = [*words(texts[r["doc_id"]]), None]
+        want = 0.0
+        for v, w in zip([None, *t[:-1]], t):
+            n = pairs[v, w]
+            c = min(base ** (int(bloom_lm.level_of(np.array([n]), base)[0]) - 0.5) if n else 0.0, count[v], count[w])
+            want += math.log10(share * c / count[v] + (1 - share) * p(w)) if count[v] else math.log10(p(w))
+        assert r["score"] == pytest.approx(want, abs=1e-6)
+
+
 def test_language_model_counts_bigrams_of_rare_words(spark):
     """More words than were once told apart in bigrams: those that were seen together are likelier than those that were not."""
     w = [f"w{k}" for k in range(10_000)]

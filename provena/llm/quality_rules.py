@@ -8,7 +8,9 @@ labelled 1); the threshold follows from the target's own scores, so that the
 decision is a fixed comparison for every document and nothing is drawn at random.
 
 Null and empty texts have no words and fail the base rules; repeated rows are
-judged each; without trusted documents the ratio is 0 and the base rules decide.
+judged each; without trusted documents the ratio is 0 and the base rules decide; an
+empty table gives an empty one.  A null id is nobody's and never trusted.  Texts are
+read whole, one row at a time; only the id and the text are read.
 """
 
 from __future__ import annotations
@@ -131,8 +133,8 @@ def quality_rules(
     ids = trusted.select(F.col(id_col).alias(id_col)).distinct()
     aside = F.pmod(F.crc32(F.col(id_col).cast("string")), F.lit(5)) == 0
     n_trusted = ids.count()  # ids are broadcast while they are few megabytes; beyond that the texts are shuffled, not their words
-    table = ratios(df, small(ids.where(~aside), 8, n_trusted), id_col, text_col, n_buckets, smoothing)
-    of_target = df.select(id_col, text_col).join(small(ids, 8, n_trusted), id_col, "left_semi").select(aside.alias("aside"), word_hashes(F.col(text_col)).alias("__h")).where(F.size("__h") >= 50)
+    table = ratios(df, small(ids.where(~aside), n_trusted), id_col, text_col, n_buckets, smoothing)
+    of_target = df.select(id_col, text_col).join(small(ids, n_trusted), id_col, "left_semi").select(aside.alias("aside"), word_hashes(F.col(text_col)).alias("__h")).where(F.size("__h") >= 50)
     spread = (
         of_target.select("aside", mean_ratio(F.col("__h"), table, n_buckets).alias("r")).groupBy("aside")
         .agg(F.avg("r").alias("m"), F.stddev_pop("r").alias("s"))

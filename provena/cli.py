@@ -1,4 +1,4 @@
-"""Command line: python -m provena.cli PROGRAM [-q FIELD [-t TABLE] | -b [-t TABLE] | -g FILE] [-o FILE]."""
+"""Command line: python -m provena.cli PROGRAM [-q FIELD [-t TABLE] | -b [-t TABLE] | -g FILE] [-o FILE] [--text]."""
 
 from __future__ import annotations
 
@@ -22,6 +22,7 @@ def main(args: list[str] | None = None, spark: SparkSession | None = None) -> in
     p.add_argument("-b", "--browse", action="store_true")
     p.add_argument("-g", "--graph", help="write the graph to this file")
     p.add_argument("-o", "--output", help="write the result to this file as JSON")
+    p.add_argument("--text", action="store_true", help="print lines for people instead of JSON")
     p.add_argument("--expand-macros", action="store_true")
     p.add_argument("--include-base")
     a = p.parse_args(args)
@@ -43,10 +44,25 @@ def main(args: list[str] | None = None, spark: SparkSession | None = None) -> in
     found = [json.loads(x) for x in rows.toJSON().collect()]  # about one program
     if a.output:
         Path(a.output).write_text(json.dumps(found, indent=2))
+    elif a.text:
+        print("\n".join(_lines(found)))
     else:
         print(json.dumps(found, indent=2))
     return 0
 
 
+def _lines(found: list, indent: str = "") -> list[str]:
+    """Rows as indented lines, a blank one between them; lists and rows inside go below their name."""
+    out: list[str] = []
+    for k, row in enumerate(found):
+        out += [""] * (k > 0 and not indent)
+        for name, v in row.items() if isinstance(row, dict) else [("-", row)]:
+            if isinstance(v, list) and any(isinstance(x, dict) for x in v):
+                out += [f"{indent}{name}:", *_lines(v, indent + "  ")]
+            else:
+                out.append(f"{indent}{name}: {', '.join(map(str, v)) if isinstance(v, list) else v}")
+    return out or [f"{indent}nothing found"]
+
+
 if __name__ == "__main__":
     sys.exit(main())

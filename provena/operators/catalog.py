@@ -8,6 +8,7 @@ programs is handled like one.
 from __future__ import annotations
 
 import os
+import time
 from functools import cached_property
 
 import pyarrow as pa
@@ -24,7 +25,7 @@ _FIELD = pa.struct([
     ("source_line", pa.int32()), ("problem", pa.string()), ("deps", pa.list_(_DEP)), ("controls", pa.list_(_DEP)),
 ])
 _SCHEMA = (
-    "program_id string, path string, bytes long, lines long, status string, error string, "
+    "program_id string, path string, bytes long, lines long, status string, error string, parse_ms double, "
     "steps array<struct<step_idx:int,kind:string,proc_name:string,output_table:string,source_line:int,where_clause:string,inputs:array<string>,keys:array<string>>>, "
     "defs array<struct<step_idx:int,stmt_idx:int,name:string,table:string,operation:string,expression:string,source_line:int,problem:string,"
     "deps:array<struct<name:string,table:string>>,controls:array<struct<name:string,table:string>>>>"
@@ -74,21 +75,21 @@ def parse_programs(df: DataFrame, expand_macros: bool = False, include_base=None
 
     def run(batches):
         for b in batches:
-            out = {k: [] for k in ("bytes", "lines", "status", "error", "steps", "defs")}
+            out = {k: [] for k in ("bytes", "lines", "status", "error", "parse_ms", "steps", "defs")}
             for code in b.column("code").to_pylist():
                 code = code or ""
-                steps, defs, status, error = [], [], "OK", None
+                steps, defs, status, error, began = [], [], "OK", None, time.perf_counter()
                 try:
                     steps, defs, error = _described(code, expand_macros, include_base)
                     status = "OK" if error is None else "NOT_EXPANDED"
                 except Exception as e:  # one bad program must not fail a corpus
                     status, error = "PARSE_ERROR", f"{type(e).__name__}: {e}"
-                for k, v in (("bytes", len(code.encode("utf-8", "replace"))), ("lines", code.count("\n") + 1), ("status", status), ("error", error), ("steps", steps), ("defs", defs)):
+                for k, v in (("bytes", len(code.encode("utf-8", "replace"))), ("lines", code.count("\n") + 1), ("status", status), ("error", error), ("parse_ms", 1000 * (time.perf_counter() - began)), ("steps", steps), ("defs", defs)):
                     out[k].append(v)
             yield pa.RecordBatch.from_arrays(
                 [b.column("program_id"), b.column("path"), pa.array(out["bytes"], pa.int64()), pa.array(out["lines"], pa.int64()), pa.array(out["status"], pa.string()),
-                 pa.array(out["error"], pa.string()), pa.array(out["steps"], pa.list_(_STEP)), pa.array(out["defs"], pa.list_(_FIELD))],
-                ["program_id", "path", "bytes", "lines", "status", "error", "steps", "defs"],
+                 pa.array(out["error"], pa.string()), pa.array(out["parse_ms"], pa.float64()), pa.array(out["steps"], pa.list_(_STEP)), pa.array(out["defs"], pa.list_(_FIELD))],
+                ["program_id", "path", "bytes", "lines", "status", "error", "parse_ms", "steps", "defs"],
             )
 
     return df.select("program_id", "path", "code").mapInArrow(run, _SCHEMA)
@@ -115,7 +116,7 @@ class Catalog:
     @cached_property
     def programs(self) -> DataFrame:
         steps = lambda kind: F.size(F.filter("steps", lambda s: s["kind"] == kind)).cast("long")
-        return self.parsed.select("program_id", "path", "bytes", "lines", "status", "error", steps("data").alias("data_steps"), steps("proc").alias("proc_steps"))
+        return self.parsed.select("program_id", "path", "bytes", "lines", "status", "error", "parse_ms", steps("data").alias("data_steps"), steps("proc").alias("proc_steps"))
 
     @cached_property
     def steps(self) -> DataFrame:

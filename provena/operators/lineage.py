@@ -17,6 +17,8 @@ from provena.operators.catalog import Catalog
 LAYERS = [("Golden sources", "Systems of record"), ("Landing", "Raw ingestion"), ("Curated", "Standardised registers"), ("Marts", "Integrated"), ("Reporting", "Consumption")]
 REGISTERS = ["Golden Source", "Landing Zone", "Curated Register", "Integrated Marts", "Reporting Register"]
 MAX_FLOWS = 10
+#: What a text cites: a table's name, a point, and a field's.
+CITED = r"[A-Za-z_]\w*\.[A-Za-z_]\w*"
 
 
 def _by_column(c: Column, names: list[str], rest: Column) -> Column:
@@ -33,6 +35,19 @@ def find_field(cat: Catalog, name: str, table: str | None = None) -> DataFrame:
     return out if table is None else out.where(cat._same(F.col("table")) == cat._same(F.lit(table)))
 
 
+def field_in_step(cat: Catalog, step_idx: int, name: str) -> DataFrame:
+    """The assignments of a field in one step of each program, with what is known of them as a map."""
+    known = F.map_filter(F.create_map(*[x for c in ("operation", "expression", "problem") for x in (F.lit(c), F.col(c))]), lambda k, v: v.isNotNull())
+    return find_field(cat, name).where(F.col("step_idx") == step_idx).withColumn("metadata", known)
+
+
+def first_inputs(cat: Catalog, n: int = 10) -> DataFrame:
+    """(program_id, position, field_id, table, name): the first n fields of each program that read no other, in order of their statements."""
+    plain = cat.fields.where(F.col("expression").isNull() | (F.size("deps") + F.size("controls") == 0))
+    order = W.partitionBy("program_id").orderBy("step_idx", "stmt_idx")
+    return plain.withColumn("position", F.row_number().over(order)).where(F.col("position") <= n).select("program_id", "position", "field_id", "table", "name")
+
+
 def all_fields(cat: Catalog) -> DataFrame:
     """All assignments with `ord`, which keeps assignments of one name together, names by first appearance."""
     at = F.struct("step_idx", "stmt_idx")
@@ -244,6 +259,23 @@ def cites_only(cited: Column, known: Column) -> Column:
     return (F.size(cited) > 0) & (F.size(F.array_except(low(cited), low(known))) == 0)
 
 
+def explain(cat: Catalog, kind: str, field_id: str, said: DataFrame | None = None) -> DataFrame:
+    """(program_id, field_id, packet, deterministic, answer, source): a field's packet and its rendered answer, or a text model's if it cites only what the packet shows.
+
+    `kind` is construction or downstream; `said` holds the model's texts as (program_id, text), where there are any.
+    """
+    rows = (construction if kind == "construction" else impact)(cat, field_id)
+    facts = packet(kind, rows).join(universe(rows), ["program_id", "field_id"]).join(rows.select("program_id", "field_id", F.col("answer").alias("deterministic")), ["program_id", "field_id"])
+    if said is None:
+        return facts.select("program_id", "field_id", "packet", "deterministic", F.col("deterministic").alias("answer"), F.lit("deterministic").alias("source"))
+    told = facts.join(said.select("program_id", "text"), "program_id", "left")
+    good = F.col("text").isNotNull() & cites_only(F.regexp_extract_all(F.coalesce("text", F.lit("")), F.lit(CITED), F.lit(0)), F.col("ids"))
+    return told.select(
+        "program_id", "field_id", "packet", "deterministic", F.when(good, F.col("text")).otherwise(F.col("deterministic")).alias("answer"),
+        F.when(good, "model").otherwise("deterministic").alias("source"),
+    )
+
+
 # --- tables and layers --------------------------------------------------------------
 
 
@@ -368,6 +400,16 @@ def corpus_report(cat: Catalog) -> DataFrame:
     return p.join(f).join(d)  # three single rows
 
 
+def slowest(cat: Catalog, n: int = 5) -> DataFrame:
+    """The n programs that took longest to parse."""
+    return cat.programs.orderBy(F.desc("parse_ms"), "program_id").limit(n).select("program_id", "path", "bytes", "lines", "parse_ms")
+
+
+def failures(cat: Catalog) -> DataFrame:
+    """Programs that were not read as they should be, with the reason."""
+    return cat.programs.where(F.col("status") != "OK").select("program_id", "path", "status", F.substring("error", 1, 200).alias("error"))
+
+
 def topological(cat: Catalog) -> DataFrame:
     """(program_id, field_id, position): an order in which every field follows its sources."""
     order = W.partitionBy("program_id").orderBy("depth", "field_id")

@@ -150,3 +150,28 @@ def test_stream_of_programs(spark, tmp_path):
     q = maintain(arriving(spark, str(tmp_path / "in")), str(tmp_path / "out"), str(tmp_path / "cp"))
     q.awaitTermination(60)
     assert spark.read.parquet(str(tmp_path / "out" / "edges")).select("src", "dst").first() == ("s.y", "a.x")
+
+
+def test_reports_of_a_corpus(spark):
+    cat = Catalog.of(programs(spark, {"a": "data t; set s; x = p; y = x * 2; z = 1; run; data u; set t; y = y + 1; run;", "b": "%macro m; %do i = 1 %to 9000; data q; run; %end; %mend; %m;"}), expand_macros=True)
+    assert [(r["field_id"], r["metadata"]["expression"]) for r in lineage.field_in_step(cat, 1, "y").collect()] == [("u.y", "y + 1")]
+    assert [(r["position"], r["field_id"]) for r in lineage.first_inputs(cat).collect()] == [(1, "t.z")]
+    assert [r["program_id"] for r in lineage.failures(cat).collect()] == ["b"]
+    got = lineage.slowest(cat, 1).collect()
+    assert len(got) == 1 and got[0]["parse_ms"] > 0
+
+
+def test_explanations_cite_only_what_the_packet_shows(spark):
+    cat = Catalog.of(programs(spark, {"a": "data t; set s; x = p; run; data u; set t; y = x * 2; run;"}))
+    plain = lineage.explain(cat, "construction", "u.y").first()
+    assert plain["source"] == "deterministic" and plain["answer"] == plain["deterministic"] and "u.y" in plain["packet"]
+    told = lambda text: lineage.explain(cat, "construction", "u.y", spark.createDataFrame([("a", text)], "program_id string, text string")).first()
+    assert told("u.y is made from T.x.")["source"] == "model"
+    assert told("u.y is made from v.z.")["source"] == told("no field at all")["source"] == "deterministic"
+    assert "t.x" in lineage.explain(cat, "downstream", "t.x").first()["packet"]
+
+
+def test_console_lines():
+    from provena.cli import _lines
+
+    assert _lines([{"a": 1, "b": [1, 2]}, {"c": [{"d": 2}]}]) == ["a: 1", "b: 1, 2", "", "c:", "  d: 2"] and _lines([]) == ["nothing found"]

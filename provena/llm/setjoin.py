@@ -38,6 +38,8 @@ from provena.llm.textarrays import (
 
 SKETCH_BITS = 22
 PARTS = 64
+#: Rows that one step of summing counts takes, and steps: up to FAN ** LEVELS tasks.
+FAN, LEVELS = 32, 4
 LONGEST = 8
 #: Tokens of a chunk of units that asks the shards together, entries of a shard, and shards at least.
 CHUNK_TOKENS = 1 << 18
@@ -81,7 +83,7 @@ def _sketch_rows(batches, split, n: int):
             counts[at[first]] += np.diff(first, append=len(at)).astype(np.uint32)
     own = TaskContext.get().partitionId()
     rows = [np.minimum(x, 255).astype(np.uint8).tobytes() for x in counts.reshape(PARTS, -1)]  # a count of 255 in one task is frequent, however great
-    yield pa.RecordBatch.from_arrays([pa.array(np.arange(PARTS, dtype=np.int32)), pa.array(np.full(PARTS, own % 32, np.int32)), pa.array(rows, pa.binary())], ["p", "salt", "c"])
+    yield pa.RecordBatch.from_arrays([pa.array(np.arange(PARTS, dtype=np.int32)), pa.array(np.full(PARTS, own, np.int32)), pa.array(rows, pa.binary())], ["p", "salt", "c"])
 
 
 def _add(t: pa.Table) -> pa.Table:
@@ -97,12 +99,11 @@ def _add(t: pa.Table) -> pa.Table:
 def sketch(df: DataFrame, text_col: str, split, n: int) -> np.ndarray:
     """Logarithmic excess of each bucket's count over what chance puts there: 4 MB, whatever the corpus."""
     rows = df.select(F.col(text_col).alias("t")).mapInArrow(lambda it: tidy(_sketch_rows(it, split, n)), "p int, salt int, c binary")
-    schema = "p int, salt int, c binary"
-    by_salt = rows.groupBy("p", "salt").applyInArrow(_add, schema)
-    got = by_salt.groupBy("p").applyInArrow(_add, schema).collect()  # PARTS rows, 16 MB
+    for _ in range(LEVELS):  # each level sums FAN rows of a part, so that no group grows with the number of tasks
+        rows = rows.withColumn("salt", F.floor(F.col("salt") / FAN).cast("int")).groupBy("p", "salt").applyInArrow(_add, "p int, salt int, c binary")
     counts = np.zeros((PARTS, 1 << (SKETCH_BITS - 6)), np.float64)
-    for r in got:
-        counts[r["p"]] = np.frombuffer(r["c"], np.uint32)
+    for r in rows.collect():  # PARTS rows, 16 MB
+        counts[r["p"]] += np.frombuffer(r["c"], np.uint32)
     mean = counts.mean()
     excess = np.maximum(counts.ravel() - mean - 4 * np.sqrt(mean), 0)
     return np.ceil(4 * np.log2(1 + excess)).astype(np.uint8)

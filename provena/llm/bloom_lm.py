@@ -8,8 +8,8 @@ is as large as the bigrams of the corpus need, and stays distributed in shards:
     P(w | v) = share * c(v, w) / c(v) + (1 - share) * P(w)
 
 A chunk of texts asks the shards for the counts of its rare words and of its
-bigrams; questions, answers and the chunk's word numbers travel as packed arrays
-and meet again by chunk, texts don't travel.  Counts of frequent words are known
+bigrams; questions and answers travel as packed arrays, and the answers meet the
+chunk's word numbers, read once more from the same rows; texts don't travel.  Counts of frequent words are known
 everywhere, from a table of at most `frequent` rows.
 
 Null and empty texts have one token, the end.  Repeated rows are counted and
@@ -35,6 +35,8 @@ SHARD_TOKENS = 2 << 20
 SHARDS = 32
 #: Bytes of text that ask together: few enough for 16-bit word numbers, mostly.
 ASK_BYTES = 1_000_000
+#: Keys that a shard answers at once.
+ASK_KEYS = 1 << 18
 #: What a packed row holds: a chunk's own arrays, or questions and answers about words or bigrams.
 CHUNK, WORDS, PAIRS = 0, 1, 2
 #: Keys as they travel.  Inside a shard 32 bits tell bigrams apart: an unseen one meets another's key in 1 of 2000 cases, the filter errs in 1 of 100.
@@ -104,12 +106,12 @@ def pair_keys(v: np.ndarray, w: np.ndarray) -> np.ndarray:
     return mix(v * np.uint64(0x9E3779B97F4A7C15) + mix(w + np.uint64(0x2545F4914F6CDD1D)))
 
 
-def word_pairs(tok: np.ndarray, doc: np.ndarray, end: int, n: int):
-    """(distinct codes v * n + w, the code's place for each token); a text's first word follows an end."""
+def word_pairs(tok: np.ndarray, doc: np.ndarray, end: int, n: int, places: bool = True):
+    """(distinct codes v * n + w, the code's place for each token), or the codes alone; a text's first word follows an end."""
     before = np.empty_like(tok)
     before[1:] = tok[:-1]
     before[runs(doc, int(doc[-1]) + 1)[:-1]] = end
-    return np.unique(before * n + tok, return_inverse=True)
+    return np.unique(before * n + tok, return_inverse=places)
 
 
 def _pairs_of(data, offsets):
@@ -159,24 +161,36 @@ class Bloom:
     @staticmethod
     def places(keys: np.ndarray, level: np.ndarray | int, probes: int):
         """(segment, hashes for the probes) of (key, level)."""
-        h = mix(keys.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) + np.uint64(0x1234567))
-        seg = (h >> np.uint64(58)).astype(np.int64)
-        g = mix(h + np.asarray(level).astype(np.uint64) * np.uint64(0xD1B54A32D192ED03))
-        return seg, [mix(g + np.uint64(k * 0x8CB92BA72F3D8DD7 & 0xFFFFFFFFFFFFFFFF)) for k in range(probes)]
+        h = Bloom.spread(keys)
+        g = Bloom.at_level(h, level)
+        return (h >> np.uint64(58)).astype(np.int64), [Bloom.probe(g, k) for k in range(probes)]
+
+    @staticmethod
+    def spread(keys: np.ndarray) -> np.ndarray:
+        return mix(keys.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) + np.uint64(0x1234567))
+
+    @staticmethod
+    def at_level(h: np.ndarray, level: np.ndarray | int) -> np.ndarray:
+        return mix(h + np.asarray(level).astype(np.uint64) * np.uint64(0xD1B54A32D192ED03))
+
+    @staticmethod
+    def probe(g: np.ndarray, k: int) -> np.ndarray:
+        return mix(g + np.uint64(k * 0x8CB92BA72F3D8DD7 & 0xFFFFFFFFFFFFFFFF))
 
     def levels(self, keys: np.ndarray) -> np.ndarray:
         """The highest level that is there with all below it."""
         out = np.zeros(len(keys), np.int64)
-        left, level = np.arange(len(keys)), 1
+        h = self.spread(keys)
+        seg = (h >> np.uint64(58)).astype(np.int64)
+        left = np.flatnonzero(self.size[seg] > 0)
+        h, size, at, level = h[left], self.size[seg[left]], self.at[seg[left]], 1
         while len(left):
+            g = self.at_level(h, level)
             for k in range(self.probes):
-                seg, hs = self.places(keys[left], level, k + 1)
-                size = self.size[seg]
-                bit = self.at[seg] + hs[k] % np.maximum(size, np.uint64(1))
-                on = (self.bits[(bit >> np.uint64(3)).astype(np.int64)] >> (bit & np.uint64(7)).astype(np.uint8)) & 1 > 0
-                left = left[on & (size > 0)]
-                if not len(left):
-                    break
+                bit = at + self.probe(g, k) % size
+                on = (self.bits[bit >> np.uint64(3)] >> (bit & np.uint64(7)).astype(np.uint8)) & 1 > 0
+                if not on.all():
+                    left, h, g, size, at = left[on], h[on], g[on], size[on], at[on]
             out[left] = level
             level += 1
         return out
@@ -260,8 +274,8 @@ def _least_count(counts: DataFrame, rows: int) -> int:
     return least
 
 
-def _questions(batches, words: Words, shards: int):
-    """A chunk's ids, word hashes, word numbers and lengths, and what it asks each shard."""
+def _questions(batches, words: Words, shards: int, asks: bool):
+    """What a chunk asks each shard; or else its own row of ids, word hashes, word numbers and lengths.  Chunks have the same numbers each time."""
     from pyspark import TaskContext
 
     number = TaskContext.get().partitionId() << 40
@@ -270,18 +284,20 @@ def _questions(batches, words: Words, shards: int):
         for i, j in chunks(offsets, ASK_BYTES):
             h, doc = tokens(data[offsets[i]:offsets[j]], offsets[i:j + 1] - offsets[i])
             own, tok = np.unique(h, return_inverse=True)
-            code, _ = word_pairs(tok, doc, int(np.searchsorted(own, END)), len(own))
-            narrow = tok.astype(np.uint16 if len(own) <= 1 << 16 else np.uint32)
             known = words.index.get(own)
-            rare = own[known < 0]
-            rows = [(number % shards, CHUNK, known[known >= 0].astype(np.uint32).tobytes(), rare.tobytes(), narrow.tobytes(), np.bincount(doc, minlength=j - i).tobytes())]
-            for kind, keys in ((WORDS, rare), (PAIRS, pair_keys(own[code // len(own)], own[code % len(own)]))):
-                order, parts = deal(keys, shards)
-                keys = keys[order].astype(KEY[kind])
-                rows += [(s, kind, keys[x:y].tobytes(), None, None, None) for s, x, y in parts]
+            rare, ids = own[known < 0], batch.column("i").slice(i, j - i)
+            if asks:
+                rows, ids = [], ids.slice(0, 0)
+                code = word_pairs(tok, doc, int(np.searchsorted(own, END)), len(own), False)
+                for kind, keys in ((WORDS, rare), (PAIRS, pair_keys(own[code // len(own)], own[code % len(own)]))):
+                    order, parts = deal(keys, shards)
+                    keys = keys[order].astype(KEY[kind])
+                    rows += [(s, kind, keys[x:y].tobytes(), None, None, None) for s, x, y in parts]
+            else:
+                narrow = tok.astype(np.uint16 if len(own) <= 1 << 16 else np.uint32)
+                rows = [(0, CHUNK, known[known >= 0].astype(np.uint32).tobytes(), rare.tobytes(), narrow.tobytes(), np.bincount(doc, minlength=j - i).astype(np.int32).tobytes())]
             s, kind, *packed = zip(*rows)
-            ids = batch.column("i").slice(i, j - i)
-            ids = pa.ListArray.from_arrays(pa.array([0] + [j - i] * len(rows), pa.int32()), ids)
+            ids = pa.ListArray.from_arrays(pa.array([0] + [len(ids)] * len(rows), pa.int32()), ids)
             yield pa.RecordBatch.from_arrays(
                 [pa.array(s, pa.int32()), pa.array([number] * len(rows), pa.int64()), pa.array(kind, pa.int32()), *(pa.array(x, pa.binary()) for x in packed), ids],
                 ["shard", "chunk", "kind", "a", "b", "c", "d", "ids"],
@@ -291,22 +307,28 @@ def _questions(batches, words: Words, shards: int):
 
 def _answers(probes: int, base: float):
     def answer(parts: pa.Table, asked: pa.Table) -> pa.Table:
-        """The rows asked with counts of words or levels of bigrams in place of keys; a chunk's own arrays pass through."""
+        """The rows asked with counts of words or levels of bigrams in place of keys."""
         w, n = _unpacked(parts, WORDS)
         index, bloom = HashIndex(w, n), None
         for kind, a, b in zip(*(parts.column(c).to_pylist() for c in ("kind", "a", "b"))):
             if kind == PAIRS:
                 at = np.append(0, np.cumsum(np.frombuffer(a, np.int64)))
                 bloom = Bloom([b[x:y] for x, y in zip(at[:-1], at[1:])], probes, base)
-        out = []
-        for kind, a in zip(asked.column("kind").to_pylist(), asked.column("a").to_pylist()):
-            if kind != CHUNK:
-                keys = np.frombuffer(a, KEY[kind])
+        kinds, packed = asked.column("kind").to_pylist(), asked.column("a").to_pylist()
+        out = list(packed)
+        for kind in (WORDS, PAIRS):  # all questions of a kind at once, a block of keys at a time
+            rows = [k for k, x in enumerate(kinds) if x == kind]
+            keys = np.frombuffer(b"".join(packed[k] for k in rows), KEY[kind])
+            said = np.zeros(len(keys), np.int64 if kind == WORDS else np.uint8)
+            for x in range(0, len(keys), ASK_KEYS):
+                block = keys[x:x + ASK_KEYS]
                 if kind == WORDS:
-                    a = np.maximum(index.get(keys), 0).tobytes()  # 0 for a word that is new
-                else:
-                    a = (bloom.levels(keys) if bloom else np.zeros(len(keys))).astype(np.uint8).tobytes()
-            out.append(a)
+                    said[x:x + ASK_KEYS] = np.maximum(index.get(block), 0)  # 0 for a word that is new
+                elif bloom:
+                    said[x:x + ASK_KEYS] = bloom.levels(block)
+            ends = np.cumsum([len(packed[k]) // KEY[kind]().itemsize for k in rows]).tolist()
+            for k, x, y in zip(rows, [0, *ends], ends):
+                out[k] = said[x:y].tobytes()
         at = asked.schema.get_field_index("a")
         return asked.set_column(at, "a", pa.array(out, pa.binary()))
 
@@ -319,7 +341,7 @@ def _scores(words: Words, shards: int, base: float, share: float, id_col: str):
         col = {c: table.column(c).to_pylist() for c in ("shard", "kind", "a", "b", "c", "d")}
         at = col["kind"].index(CHUNK)
         own = np.sort(np.concatenate([words.hashes[np.frombuffer(col["a"][at], np.uint32)], np.frombuffer(col["b"][at], np.uint64)]))
-        size = np.frombuffer(col["d"][at], np.int64)
+        size = np.frombuffer(col["d"][at], np.int32).astype(np.int64)
         tok = np.frombuffer(col["c"][at], np.uint16 if len(own) <= 1 << 16 else np.uint32).astype(np.int64)
         doc = np.repeat(np.arange(len(size)), size)
 
@@ -356,9 +378,13 @@ def score(df: DataFrame, model: dict, id_col: str = "doc_id", text_col: str = "t
     shared = df.sparkSession.sparkContext.broadcast(model["words"])
     kind = dict(df.dtypes)[id_col]
     packed = f"shard int, chunk long, kind int, a binary, b binary, c binary, d binary, ids array<{kind}>"
-    asked = df.select(F.col(id_col).alias("i"), F.col(text_col).alias("t")).mapInArrow(lambda it: tidy(_questions(it, shared.value, shards)), packed)
+    texts = df.select(F.col(id_col).alias("i"), F.col(text_col).alias("t"))
+    if "Exchange" in df._jdf.queryExecution().executedPlan().toString():  # rows of a shuffle may come in another order; those of a table don't
+        texts = cut(texts)
+    asked, own = (texts.mapInArrow(lambda it, a=asks: tidy(_questions(it, shared.value, shards, a)), packed) for asks in (True, False))
     answered = model["parts"].groupBy("shard").cogroup(asked.groupBy("shard")).applyInArrow(_answers(model["probes"], base), packed)
-    return answered.groupBy("chunk").applyInArrow(
-        lambda table: _scores(shared.value, shards, base, share, id_col)(table),
+    # Each side is dealt by itself, so that a chunk has the same number, made from its task's place in the stage, on both.
+    return own.groupBy("chunk").cogroup(answered.groupBy("chunk")).applyInArrow(
+        lambda mine, told: _scores(shared.value, shards, base, share, id_col)(pa.concat_tables([mine, told])),
         f"`{id_col}` {kind}, n_tokens long, n_known long, train_tokens long, base_score double, score double",
     )
